@@ -2,5 +2,13 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+import importlib
+
+from framewright.registry import ORACLE, QUERIES
+
+MODULES = ("groups", "sequences", "quality", "stencil", "components", "polyline", "matching", "raster")
+
+for _name in MODULES:
+    importlib.import_module(f"framewright.plans.{_name}")
+
+__all__ = ["ORACLE", "QUERIES"]
