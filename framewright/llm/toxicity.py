@@ -128,7 +128,7 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * x + self.offset))))
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 200_000, order: int = 6) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most: int = 200_000, order: int = 5) -> Model:
     """A model from documents (doc_id, text) and labels (doc_id, toxic 0 or 1).
 
     The classifier is fitted on at most about ``most`` labelled documents, chosen by a hash of the
