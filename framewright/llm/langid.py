@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,75 +25,105 @@ from framewright.llm.common import crc_mod, table
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
 UND = "und"
+#: Unseen words whose scores a worker remembers.
+KEPT = 100_000
+
+
+def _grams(word: str) -> Iterator[str]:
+    """Character n-grams, the longest order first; all but single letters see the word's ends."""
+    marked = f"<{word}>"
+    for m in ORDERS:
+        src = word if m == 1 else marked
+        for a in range(len(src) - m + 1):
+            yield src[a : a + m]
+
+
+def _logs(counts: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Smoothed log share of each row within the rows of its order, for each language."""
+    out = np.empty(counts.shape, np.float32)
+    for m in np.unique(order):
+        own = order == m
+        out[own] = np.log((counts[own] + 0.5) / (counts[own].sum(axis=0) + 0.5 * own.sum()))
+    return out
 
 
 class Model:
-    """Per-language log frequencies of words and of character n-grams."""
+    """Per-language log frequencies of words and of character n-grams, a row of one matrix for each."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]):
-        self.langs, self.words, self.grams = langs, words, grams
-        self.memo: dict[str, np.ndarray] = {}
+    def __init__(self, langs: list[str], words: dict[str, int], word_logs: np.ndarray, grams: dict[str, int], gram_logs: np.ndarray):
+        self.parts = (langs, words, word_logs, grams, gram_logs)
+        self.langs, self.words, self.word_logs, self.grams, self.gram_logs = self.parts
+        self.fresh: dict[str, int] = {}
+        self.table: np.ndarray | None = None
 
     @classmethod
-    def fit(cls, counts: dict[str, Counter]) -> Model:
-        langs = sorted(counts)
-        k = len(langs)
-        words: dict[str, np.ndarray] = {}
-        for i, lang in enumerate(langs):
-            for w, n in counts[lang].items():
-                words.setdefault(w, np.zeros(k))[i] = n
-        grams: dict[str, np.ndarray] = {}
-        for w, n in words.items():
-            weight = np.log1p(n)
-            marked = f"<{w}>"
-            for m in ORDERS:
-                src = w if m == 1 else marked
-                for a in range(len(src) - m + 1):
-                    g = src[a : a + m]
-                    if (got := grams.get(g)) is None:
-                        grams[g] = weight.copy()
-                    else:
-                        got += weight
-        return cls(langs, cls._logs(words, k), cls._logs(grams, k, by_order=True))
-
-    @staticmethod
-    def _logs(counts: dict[str, np.ndarray], k: int, by_order: bool = False) -> dict[str, np.ndarray]:
-        total: dict[int, np.ndarray] = {}
-        for g, n in counts.items():
-            o = len(g) if by_order else 0
-            total[o] = total.get(o, np.zeros(k)) + n
-        size = Counter(len(g) if by_order else 0 for g in counts)
-        return {g: np.log((n + 0.5) / (total[o] + 0.5 * size[o])).astype(np.float32) for g, n in counts.items() for o in (len(g) if by_order else 0,)}
-
-    def word(self, w: str) -> np.ndarray:
-        """Relative log frequency of one word in each language."""
-        if (got := self.words.get(w)) is not None:
-            return got - got.max()
-        if (got := self.memo.get(w)) is not None:
-            return got
-        marked, out = f"<{w}>", np.zeros(len(self.langs), np.float32)
-        for m in ORDERS:
-            src = w if m == 1 else marked
-            known = [self.grams[g] for a in range(len(src) - m + 1) if (g := src[a : a + m]) in self.grams]
-            if known:
-                out = np.mean(known, axis=0)
-                out = out - out.max()
-                break
-        if len(w) <= 64:
-            if len(self.memo) > 100_000:
-                self.memo.clear()
-            self.memo[w] = out
-        return out
+    def fit(cls, counts: Iterable[tuple[str, str, int]]) -> Model:
+        """From (language, word, count)."""
+        index: dict[str, int] = {}
+        words: dict[str, int] = {}
+        at, of, n = array("q"), array("q"), array("d")
+        for lang, w, c in counts:
+            at.append(words.setdefault(w, len(words)))
+            of.append(index.setdefault(lang, len(index)))
+            n.append(c)
+        langs = sorted(index)
+        column = np.array([langs.index(x) for x in index], np.int64)
+        seen = np.zeros((len(words), len(langs)))
+        if len(at):
+            np.add.at(seen, (np.frombuffer(at, np.int64), column[np.frombuffer(of, np.int64)]), np.frombuffer(n, float))
+        weight = np.log1p(seen)
+        grams: dict[str, int] = {}
+        at, of = array("q"), array("q")
+        for w, i in words.items():
+            for g in _grams(w):
+                at.append(grams.setdefault(g, len(grams)))
+                of.append(i)
+        held = np.zeros((len(grams), len(langs)))
+        rows, of = np.frombuffer(at, np.int64), np.frombuffer(of, np.int64)
+        for a in range(0, len(rows), 1 << 20):
+            np.add.at(held, rows[a : a + (1 << 20)], weight[of[a : a + (1 << 20)]])
+        order = np.fromiter(map(len, grams), np.int64, len(grams))
+        return cls(langs, words, _logs(seen, np.zeros(len(words), np.int64)), grams, _logs(held, order))
+
+    def _unseen(self, w: str) -> np.ndarray:
+        """Mean log share of the n-grams of the longest order of which any is known; even between languages without any."""
+        known: list[int] = []
+        last = 0
+        for g in _grams(w):
+            if known and len(g) != last:
+                break  # a longer order has answered
+            last = len(g)
+            if (i := self.grams.get(g)) is not None:
+                known.append(i)
+        return self.gram_logs[known].mean(axis=0) if known else np.zeros(len(self.langs), np.float32)
+
+    def _row(self, w: str) -> int:
+        """Where the scores of an unseen word are kept; the table is emptied when full, so its memory is bounded."""
+        if len(self.fresh) >= KEPT:
+            self.fresh.clear()
+        i = self.fresh[w] = len(self.words) + len(self.fresh)
+        self.table[i] = self._unseen(w)
+        return i
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        """The language and its share of the scores; mean log frequencies weigh as much as the root of the number of words."""
         words = Counter(WORD.findall((text or "").lower()))
         if not words or not self.langs:
             return UND, 0.0
-        n = sum(words.values())
-        total = np.zeros(len(self.langs))
-        for w, c in words.items():
-            total += self.word(w) * float(c)
-        z = total / math.sqrt(n)
+        if self.table is None:
+            self.table = np.concatenate([self.word_logs, np.zeros((KEPT, len(self.langs)), np.float32)])
+        total, seen = np.zeros(len(self.langs)), 0
+        each = list(words)
+        for a in range(0, len(each), KEPT):
+            part = each[a : a + KEPT]
+            if len(part) + len(self.fresh) > KEPT:
+                self.fresh.clear()
+            known, fresh = self.words.get, self.fresh.get
+            rows = [i if (i := known(w)) is not None else i if (i := fresh(w)) is not None else self._row(w) for w in part]
+            n = np.fromiter(map(words.__getitem__, part), float, len(part))
+            total += n @ self.table[rows]
+            seen += n.sum()
+        z = total / math.sqrt(seen)
         p = np.exp(z - z.max())
         p /= p.sum()
         best = int(p.argmax())
@@ -109,7 +140,7 @@ def sample(docs: DataFrame, per_lang: int) -> DataFrame:
     return labelled.where(F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(1 << 30)) < share * (1 << 30))
 
 
-def train(docs: DataFrame, per_lang: int = 2500) -> Model:
+def train(docs: DataFrame, per_lang: int = 1000) -> Model:
     """A model from documents (doc_id, text, lang): fitted on a bounded sample of ``per_lang`` documents a language.
 
     Word counts of the sample are summed per partition, then by Spark; the driver gets a row for each
@@ -125,10 +156,7 @@ def train(docs: DataFrame, per_lang: int = 2500) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words)), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["lang", "word", "n"])
 
     rows = sample(docs, per_lang).select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts: dict[str, Counter] = {}
-    for lang, word, n in rows.toLocalIterator():
-        counts.setdefault(lang, Counter())[word] = n
-    return Model.fit(counts)
+    return Model.fit(map(tuple, rows.orderBy("lang", "word").toLocalIterator()))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -138,7 +166,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     language. Repeated rows are each judged; equal scores go to the first language by name. Whole
     texts are read, and nothing is shuffled.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams))
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
@@ -151,7 +179,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is predicted with a score of ``least`` or more."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams))
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
