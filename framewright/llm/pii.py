@@ -86,6 +86,7 @@ class Pseudonyms:
         r"|(?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9]))"
     )
     HINT = re.compile(r"[0-9@]")
+    HEX = re.compile("(?=.*[0-9])(?=.*[a-f])[0-9a-f]{8,}")
     #: First address and size of networks with a meaning of their own, which their addresses stay in: this host, 10/8, loopback, 172.16/12, 192.168/16, multicast and beyond.
     BLOCKS = ((0, 1 << 24), (10 << 24, 1 << 24), (127 << 24, 1 << 24), (0xAC100000, 1 << 20), (0xC0A80000, 1 << 16), (224 << 24, 1 << 29))
 
@@ -97,17 +98,16 @@ class Pseudonyms:
         return str(self.f.permute(int(s), 10**n, f"{kind}{n}", valid and (lambda x: valid(str(x).zfill(n))), back)).zfill(n)
 
     def _classes(self, s: str, kind: str, back: bool = False) -> str:
-        """Letters stay letters of their case, digits digits, long hexadecimal strings hexadecimal; other characters stay."""
+        """Letters stay letters of their case and digits digits; other characters stay."""
         x, size, parts = 0, 1, []
-        sets = ("0123456789abcdef",) if re.fullmatch("[0-9a-f]{16,}", s) else ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
         for c in s:
-            base = next((b for b in sets if c in b), None)
+            base = next((b for b in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c in b), None)
             parts.append(base)
             if base:
                 x, size = x * len(base) + base.index(c), size * len(base)
         if size == 1:
             return s
-        shape = f"{len(sets)}" + "".join(b[0] if b else c for b, c in zip(parts, s, strict=True))
+        shape = "".join(b[0] if b else c for b, c in zip(parts, s, strict=True))
         x = self.f.permute(x, size, kind + shape, None, back)
         out = []
         for base, c in zip(reversed(parts), reversed(s), strict=True):
@@ -117,6 +117,12 @@ class Pseudonyms:
             out.append(c)
         return "".join(reversed(out))
 
+    def _hex(self, s: str, back: bool) -> str:
+        """A hexadecimal string of digits and letters as another one."""
+        n = len(s)
+        mixed = lambda x: self.HEX.fullmatch(f"{x:0{n}x}") is not None
+        return f"{self.f.permute(int(s, 16), 16**n, f'hex{n}', mixed, back):0{n}x}"
+
     def value(self, kind: str, s: str, back: bool = False) -> str | None:
         """The pseudonym of a value of this kind (or with ``back`` the value of a pseudonym); None if it isn't valid."""
         d = "".join(c for c in s if c.isdigit())
@@ -126,7 +132,7 @@ class Pseudonyms:
         if kind == "aws":
             return s[:4] + self._classes(s[4:], "aws", back)
         if kind == "value":
-            return self._classes(s, "secret", back)
+            return self._hex(s, back) if self.HEX.fullmatch(s) else self._classes(s, "secret", back)
         if kind == "card":
             if luhn(d) or len(set(d)) == 1:
                 return None
