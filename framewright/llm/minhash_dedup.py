@@ -29,7 +29,7 @@ from framewright.llm.common import connected_components, durable, table, with_sm
 
 COORDINATES = 32
 #: Sketch bytes of 24 that agree with the leader's in a member of a tight node.
-TIGHT = 19
+TIGHT = 17
 _ONES = 0x0101010101010101
 
 
@@ -99,8 +99,8 @@ def _leaves(classes: DataFrame, trees: int, small: int, depth: int) -> DataFrame
     while True:
         nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min(F.struct("cid", "doc", "n", "sk")).alias("lead")).where("size > 1")
         members = durable(rows.join(nodes, "node"))
-        wide = members.where(F.col("size") > small).groupBy("node").agg(F.max("size").alias("size"), F.count_if(F.expr(f"{_agree('sk', 'lead.sk')} < {TIGHT}")).alias("loose"))
-        wide = wide.where(F.col("loose") > F.greatest(F.lit(small), F.col("size") / 8)).select("node")
+        loose = F.count_if(F.expr(f"{_agree('sk', 'lead.sk')} < {TIGHT}"))
+        wide = members.where(F.col("size") > small).groupBy("node").agg(F.max("size").alias("size"), loose.alias("loose")).where(F.col("loose") > F.greatest(F.lit(small), F.col("size") / 8)).select("node")
         more = level < depth and bool((wide := durable(wide)).take(1))
         done.append((members.join(wide, "node", "left_anti") if more else members).drop("size"))
         if not more:
@@ -153,7 +153,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     return durable(joined.select("a", "b", "doc_a", "doc_b", "blob_a", "blob_b").mapInArrow(test, "a binary, b binary, doc_a long, doc_b long"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int = 14, small: int = 16, depth: int = 24) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int = 14, small: int = 16, depth: int = 10) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs`` (doc_id, text, any others).
 
     Documents are linked where 100 * |intersection| >= ``percent`` * |union| of their sets of
