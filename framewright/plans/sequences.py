@@ -9,14 +9,17 @@ from framewright.plans.groups import _SHOTS, shots
 from framewright.registry import query
 from framewright.sources.views import runs, seq, table, with_views
 
-CLIP = Window.partitionBy("clip").orderBy("i")
+
+def by_clip():
+    """A clip's frames in order."""
+    return Window.partitionBy("clip").orderBy("i")
 
 
 @query("cut_scores", with_views("""
 s AS (SELECT clip, i, coalesce(abs(v - lag(v) OVER (PARTITION BY clip ORDER BY i)), 0) / 255 AS score FROM seq)
 SELECT clip, i, round(score, 9) AS score, score > 1 AS cut FROM s""", "seq"))
 def cut_scores(spark, sf_dir):
-    s = seq(spark, sf_dir).withColumn("score", F.coalesce(F.abs(F.col("v") - F.lag("v").over(CLIP)), F.lit(0.0)) / 255)
+    s = seq(spark, sf_dir).withColumn("score", F.coalesce(F.abs(F.col("v") - F.lag("v").over(by_clip())), F.lit(0.0)) / 255)
     return s.select("clip", "i", F.round("score", 9).alias("score"), (F.col("score") > 1).alias("cut"))
 
 
@@ -71,8 +74,8 @@ rle AS (SELECT clip, run, min(i) AS lo, max(i) + 1 AS hi, any_value(n) AS n FROM
 
 def run_lengths(spark, sf_dir):
     """(clip, run, lo, hi, n): maximal runs of equal values, hi exclusive."""
-    s = runs(spark, sf_dir).withColumn("b", F.coalesce((F.col("n") != F.lag("n").over(CLIP)).cast("int"), F.lit(1)))
-    return s.withColumn("run", F.sum("b").over(CLIP).cast("int")).groupBy("clip", "run").agg(F.min("i").alias("lo"), (F.max("i") + 1).alias("hi"), F.first("n").alias("n"))
+    s = runs(spark, sf_dir).withColumn("b", F.coalesce((F.col("n") != F.lag("n").over(by_clip())).cast("int"), F.lit(1)))
+    return s.withColumn("run", F.sum("b").over(by_clip()).cast("int")).groupBy("clip", "run").agg(F.min("i").alias("lo"), (F.max("i") + 1).alias("hi"), F.first("n").alias("n"))
 
 
 @query("run_length", with_views(_RLE.strip() + "\nSELECT clip, lo, hi, n FROM rle", "runs"))
@@ -106,7 +109,7 @@ def big_blob_rules(spark, sf_dir):
 p AS (SELECT clip, i, i - row_number() OVER (PARTITION BY clip ORDER BY i) AS isle FROM seq WHERE k IN ('click', 'view'))
 SELECT clip, min(i) AS lo, max(i) AS hi FROM p GROUP BY clip, isle""", "seq"))
 def index_ranges(spark, sf_dir):
-    p = seq(spark, sf_dir).where(F.col("k").isin("click", "view")).withColumn("isle", F.col("i") - F.row_number().over(CLIP))
+    p = seq(spark, sf_dir).where(F.col("k").isin("click", "view")).withColumn("isle", F.col("i") - F.row_number().over(by_clip()))
     return p.groupBy("clip", "isle").agg(F.min("i").alias("lo"), F.max("i").alias("hi")).drop("isle")
 
 
@@ -171,8 +174,8 @@ SELECT clip, min(i) AS lo, max(i) + 1 AS hi FROM p GROUP BY clip, isle HAVING co
 
 
 def _windows(spark, sf_dir, test, least):
-    m = seq(spark, sf_dir).withColumn("d", F.abs(F.col("v") - F.lag("v").over(CLIP))).where(test)
-    p = m.withColumn("isle", F.col("i") - F.row_number().over(CLIP)).groupBy("clip", "isle")
+    m = seq(spark, sf_dir).withColumn("d", F.abs(F.col("v") - F.lag("v").over(by_clip()))).where(test)
+    p = m.withColumn("isle", F.col("i") - F.row_number().over(by_clip())).groupBy("clip", "isle")
     return p.agg(F.min("i").alias("lo"), (F.max("i") + 1).alias("hi"), F.count("*").alias("n")).where(F.col("n") >= least).select("clip", "lo", "hi")
 
 
@@ -195,7 +198,7 @@ FROM top t LEFT JOIN c p ON p.clip = t.clip AND p.lag = t.lag - 1 LEFT JOIN c n
 def area_lag(spark, sf_dir):
     """The lag of the largest correlation of a clip with itself, refined by a parabola through its neighbours."""
     a = seq(spark, sf_dir).withColumn("v", F.col("v") - F.avg("v").over(Window.partitionBy("clip")))
-    means = a.select("clip", *(F.round((F.col("v") * (F.lag("v", -d).over(CLIP))), 12).alias(f"m{d + 3}") for d in range(-3, 4))).groupBy("clip").agg(*(F.round(F.avg(f"m{k}"), 3).alias(f"c{k}") for k in range(7)))
+    means = a.select("clip", *(F.round((F.col("v") * (F.lag("v", -d).over(by_clip()))), 12).alias(f"m{d + 3}") for d in range(-3, 4))).groupBy("clip").agg(*(F.round(F.avg(f"m{k}"), 3).alias(f"c{k}") for k in range(7)))
     c = means.select("clip", F.array(*(F.struct(F.lit(k - 3).alias("lag"), F.col(f"c{k}").alias("c")) for k in range(7))).alias("all"))
     best = F.array_max(F.transform(F.filter("all", lambda s: (s["lag"] != 0) & s["c"].isNotNull()), lambda s: F.struct(s["c"].alias("c"), (-s["lag"]).alias("back"))))
     c = c.withColumn("b", best).withColumn("lag", -F.col("b.back")).withColumn("c", F.col("b.c"))
