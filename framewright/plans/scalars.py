@@ -106,18 +106,18 @@ def output_name(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.replace(F.replace(F.lit("{source}-{style}.mp4"), F.lit("{source}"), F.lower("p_brand")), F.lit("{style}"), F.regexp_replace("p_type", " ", "_")).alias("name"))
 
 
-@query("seconds_label", _META + "SELECT o_orderkey, rtrim(rtrim(printf('%.3f', round(sec, 2)), '0'), '.') AS label, CASE WHEN round(sec) % 2 = 0 THEN '\"a b\"' ELSE 'ab' END AS arg FROM meta")
+@query("seconds_label", _META + "SELECT o_orderkey, rtrim(rtrim(printf('%.5f', sec), '0'), '.') AS label, CASE WHEN round(sec) % 2 = 0 THEN '\"a b\"' ELSE 'ab' END AS arg FROM meta")
 def seconds_label(spark, sf_dir):
     m = _meta(spark, sf_dir)
-    label = F.rtrim(F.rtrim(F.format_string("%.3f", F.round("sec", 2)), F.lit("0")), F.lit("."))
+    label = F.rtrim(F.rtrim(F.format_string("%.5f", "sec"), F.lit("0")), F.lit("."))
     arg = F.when(F.round("sec") % 2 == 0, F.lit("a b")).otherwise(F.lit("ab"))
     return m.select("o_orderkey", label.alias("label"), F.when(F.contains(arg, F.lit(" ")), F.concat(F.lit('"'), arg, F.lit('"'))).otherwise(arg).alias("arg"))
 
 
-@query("decimal_comma", _META + "SELECT o_orderkey, replace(printf('%.2f', round(sec, 2)), '.', ',') AS v, trim('\"' || o_orderkey || '\"', '\"') AS unquoted FROM meta")
+@query("decimal_comma", _META + "SELECT o_orderkey, replace(printf('%.5f', sec), '.', ',') AS v, trim('\"' || o_orderkey || '\"', '\"') AS unquoted FROM meta")
 def decimal_comma(spark, sf_dir):
     quoted = F.concat(F.lit('"'), F.col("o_orderkey").cast("string"), F.lit('"'))
-    return _meta(spark, sf_dir).select("o_orderkey", F.replace(F.format_string("%.2f", F.round("sec", 2)), F.lit("."), F.lit(",")).alias("v"), F.regexp_replace(quoted, '^"|"$', "").alias("unquoted"))
+    return _meta(spark, sf_dir).select("o_orderkey", F.replace(F.format_string("%.5f", "sec"), F.lit("."), F.lit(",")).alias("v"), F.regexp_replace(quoted, '^"|"$', "").alias("unquoted"))
 
 
 @query("hex_colour", "SELECT p_partkey, '#' || right('000000' || lower(printf('%x', (p_partkey * 7919) % 16777216)), 6) AS hex, (((p_partkey * 7919) % 16777216) // 65536)::INT AS r, ((((p_partkey * 7919) % 16777216) // 256) % 256)::INT AS g, (((p_partkey * 7919) % 16777216) % 256)::INT AS b, (p_partkey * 7919) % 16777216 AS packed FROM part")
