@@ -3,10 +3,11 @@
 Documents with equal shingle sets are one class. Every independent tree sends a class down a path:
 the node reached so far picks one of the minwise coordinates, and the class's minwise token at that
 coordinate picks the child. A pair of Jaccard similarity s stays together for one level with
-probability s. A node stops branching once it is small, or tight (nearly all its sketches resemble the
-leader's, as in a large group of near copies, which no coordinate would split), or ``depth`` levels
-deep. Its members are compared exhaustively up to connectivity: all with the node's leader, then those
-that aren't linked with the leader against every member. No node is cut, sampled or skipped.
+probability s. A node stops branching once it is small, or tight (it kept nearly all of the node above,
+as a large group of near copies does, which no coordinate would split), or ``depth`` levels deep. Its
+members are compared exhaustively up to connectivity: all with the node's leader, then, where that has
+left more than one component, all pairs of different components but for those inside the largest.
+No node is cut, sampled or skipped.
 
 With similarity s, trees T and nodes that stop at level d, a pair is missed with probability
 (1 - s^d)^T: for s = 0.85 and 14 trees 3e-12 at level 1, 6e-5 at level 4.
@@ -28,8 +29,8 @@ from framewright.llm import wordhash as W
 from framewright.llm.common import connected_components, durable, table, with_small
 
 COORDINATES = 32
-#: Sketch bytes of 24 that agree with the leader's in a member of a tight node.
-TIGHT = 17
+#: Share of a node's members that has to stay together on a branch for the branch to be tight.
+TIGHT = 0.85
 _ONES = 0x0101010101010101
 
 
@@ -93,21 +94,20 @@ def _leaves(classes: DataFrame, trees: int, small: int, depth: int) -> DataFrame
     """(node, cid, doc, n, sk, lead): members of all nodes at which branching ended and that hold two classes or more."""
     child = lambda node, sig: F.xxhash64(node, F.element_at(sig, (F.pmod(F.xxhash64(node, F.lit("coordinate")), F.lit(COORDINATES)) + 1).cast("int")))
     rows = classes.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "*").select(
-        F.xxhash64("tree", F.element_at("sig", F.col("tree") % COORDINATES + 1)).alias("node"), "cid", "doc", "n", "sk"
+        F.xxhash64("tree", F.element_at("sig", F.col("tree") % COORDINATES + 1)).alias("node"), F.lit(1 << 62).alias("above"), "cid", "doc", "n", "sk"
     )
     done, level = [], 1
     while True:
         nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min(F.struct("cid", "doc", "n", "sk")).alias("lead")).where("size > 1")
         members = durable(rows.join(nodes, "node"))
-        loose = F.count_if(F.expr(f"{_agree('sk', 'lead.sk')} < {TIGHT}"))
-        wide = members.where(F.col("size") > small).groupBy("node").agg(F.max("size").alias("size"), loose.alias("loose")).where(F.col("loose") > F.greatest(F.lit(small), F.col("size") / 8)).select("node")
-        more = level < depth and bool((wide := durable(wide)).take(1))
-        done.append((members.join(wide, "node", "left_anti") if more else members).drop("size"))
+        leaf = (F.col("size") <= small) | (F.col("size") >= TIGHT * F.col("above"))
+        wide = members.where(~leaf)
+        more = level < depth and bool(wide.take(1))
+        done.append((members.where(leaf) if more else members).select("node", "cid", "doc", "n", "sk", "lead"))
         if not more:
             break
         level += 1
-        rows = members.join(wide, "node", "left_semi").join(classes.select("cid", "sig"), "cid").select(child(F.col("node"), F.col("sig")).alias("node"), "cid", "doc", "n", "sk")
-        rows = durable(rows)
+        rows = durable(wide.select("node", "size", "cid", "doc", "n", "sk").join(classes.select("cid", "sig"), "cid").select(child(F.col("node"), F.col("sig")).alias("node"), F.col("size").alias("above"), "cid", "doc", "n", "sk"))
     out = done[0]
     for x in done[1:]:
         out = out.unionAll(x)
@@ -153,7 +153,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     return durable(joined.select("a", "b", "doc_a", "doc_b", "blob_a", "blob_b").mapInArrow(test, "a binary, b binary, doc_a long, doc_b long"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int = 14, small: int = 16, depth: int = 10) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int = 14, small: int = 16, depth: int = 12) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs`` (doc_id, text, any others).
 
     Documents are linked where 100 * |intersection| >= ``percent`` * |union| of their sets of
@@ -163,38 +163,46 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int =
     component_id null and is kept. An empty table gives no rows.
     """
     prof = durable(profiles(docs, k))
-    classes = durable(
-        prof.where("n_shingles > 0 and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("sk").alias("sk"))
-    )
+    whole = prof.where("n_shingles > 0 and doc_id is not null")
+    classes = durable(whole.groupBy("cid").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("sk").alias("sk")))
     leaves = _leaves(classes, trees, small, depth)
     fits = f"100 * least(n, lead.n) >= {percent} * greatest(n, lead.n) and {_agree('sk', 'lead.sk')} >= 12"
     stars = durable(leaves.where("cid <> lead.cid").where(fits).select(F.col("lead.cid").alias("a"), F.col("cid").alias("b"), F.col("lead.doc").alias("doc_a"), F.col("doc").alias("doc_b")).distinct())
-    linked = _verified(docs, stars, k, percent)
-    linked = _rest(docs, leaves, linked, k, percent)
-    own = prof.where("n_shingles > 0 and doc_id is not null").join(classes.select("cid", "doc"), "cid").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
-    comp = connected_components(linked.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).unionAll(own))
-    return (
-        prof.select("doc_id", "n_shingles")
-        .join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
-    )
+    near = durable(connected_components(_verified(docs, stars, k, percent), "doc_a", "doc_b"))
+    rest = _verified(docs, _apart(leaves, near, percent), k, percent).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+    # an id with several texts holds their classes together
+    several = whole.groupBy("doc_id").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x <> y").select("doc_id")
+    several = whole.join(several, "doc_id", "left_semi").join(classes.select("cid", "doc"), "cid").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
+    far = connected_components(_named(_named(rest.unionAll(several), near, "a"), near, "b"))
+    own = prof.select("doc_id", "n_shingles", "cid").join(classes.select("cid", "doc"), "cid", "left").withColumn("component", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("doc")), "doc_id"))
+    own = _named(_named(own, near, "component"), far, "component")
+    return own.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
+
 
+def _named(df: DataFrame, components: DataFrame, column: str) -> DataFrame:
+    """``column`` replaced by its component where it has one."""
+    found = components.select(F.col("id").alias("__id"), F.col("component").alias("__component"))
+    return df.join(found, F.col(column) == F.col("__id"), "left").withColumn(column, F.coalesce("__component", column)).drop("__id", "__component")
 
-def _rest(docs: DataFrame, leaves: DataFrame, linked: DataFrame, k: int, percent: int) -> DataFrame:
-    """Adds to the stars' links those between members that aren't linked with their leader and any others of their node."""
-    star = linked.select(F.col("a").alias("star_a"), F.col("b").alias("star_b"))
-    free = leaves.where("cid <> lead.cid").join(star, F.expr("lead.cid = star_a and cid = star_b"), "left_anti")
-    x = durable(free.select("node", F.struct("cid", "doc", "n", "sk").alias("x")))
-    y = leaves.where("cid <> lead.cid").select("node", F.struct("cid", "doc", "n", "sk").alias("y"))
-    pairs = (
-        x.join(y, "node")
-        .where(f"x.cid <> y.cid and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {_agree('x.sk', 'y.sk')} >= 12")
-        .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+def _apart(leaves: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """Pairs that share a node and that the leaders' links haven't joined yet.
+
+    A node whose members are all in one component is done. In the others, each member outside the
+    largest component meets every member of another component than its own.
+    """
+    member = _named(leaves.select("node", "cid", "doc", "n", "sk", F.col("doc").alias("component")), near, "component")
+    parts = member.groupBy("node", "component").agg(F.count("*").alias("n")).groupBy("node").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main")).where("parts > 1")
+    mixed = durable(member.join(parts.select("node", "main"), "node"))
+    side = lambda name: F.struct("cid", "doc", "n", "sk", "component").alias(name)
+    return durable(
+        mixed.where("component <> main")
+        .select("node", side("x"))
+        .join(mixed.select("node", "main", side("y")), "node")
+        .where(f"x.component <> y.component and (y.component = main or x.cid < y.cid) and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {_agree('x.sk', 'y.sk')} >= 12")
         .select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), F.col("x.doc").alias("doc_a"), F.col("y.doc").alias("doc_b"))
         .distinct()
     )
-    pairs = durable(pairs.join(linked.select("a", "b"), ["a", "b"], "left_anti"))
-    return linked.unionAll(_verified(docs, pairs, k, percent))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
