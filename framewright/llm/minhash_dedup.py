@@ -3,9 +3,8 @@
 Documents with equal shingle sets are one class. Every independent tree sends a class down a path:
 the node reached so far picks one of the minwise coordinates, and the class's minwise token at that
 coordinate picks the child. A pair of Jaccard similarity s stays together for one level with
-probability s. A node stops branching once it is small, or tight (it kept nearly all of the node above,
-as a large group of near copies does, which no coordinate would split), or ``depth`` levels deep. Its
-members are compared exhaustively up to connectivity: all with the node's leader, then, where that has
+probability s. A node stops branching once it is small or ``depth`` levels deep. Its members are
+compared exhaustively up to connectivity: all with the node's leader, then, where that has
 left more than one component, all pairs of different components but for those inside the largest.
 No node is cut, sampled or skipped.
 
@@ -29,8 +28,6 @@ from framewright.llm import wordhash as W
 from framewright.llm.common import connected_components, durable, table, with_small
 
 COORDINATES = 32
-#: Share of a node's members that has to stay together on a branch for the branch to be tight.
-TIGHT = 0.85
 _ONES = 0x0101010101010101
 
 
@@ -94,20 +91,20 @@ def _leaves(classes: DataFrame, trees: int, small: int, depth: int) -> DataFrame
     """(node, cid, doc, n, sk, lead): members of all nodes at which branching ended and that hold two classes or more."""
     child = lambda node, sig: F.xxhash64(node, F.element_at(sig, (F.pmod(F.xxhash64(node, F.lit("coordinate")), F.lit(COORDINATES)) + 1).cast("int")))
     rows = classes.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "*").select(
-        F.xxhash64("tree", F.element_at("sig", F.col("tree") % COORDINATES + 1)).alias("node"), F.lit(1 << 62).alias("above"), "cid", "doc", "n", "sk"
+        F.xxhash64("tree", F.element_at("sig", F.col("tree") % COORDINATES + 1)).alias("node"), "cid", "doc", "n", "sk"
     )
     done, level = [], 1
     while True:
         nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min(F.struct("cid", "doc", "n", "sk")).alias("lead")).where("size > 1")
         members = durable(rows.join(nodes, "node"))
-        leaf = (F.col("size") <= small) | (F.col("size") >= TIGHT * F.col("above"))
+        leaf = F.col("size") <= small
         wide = members.where(~leaf)
         more = level < depth and bool(wide.take(1))
         done.append((members.where(leaf) if more else members).select("node", "cid", "doc", "n", "sk", "lead"))
         if not more:
             break
         level += 1
-        rows = durable(wide.select("node", "size", "cid", "doc", "n", "sk").join(classes.select("cid", "sig"), "cid").select(child(F.col("node"), F.col("sig")).alias("node"), F.col("size").alias("above"), "cid", "doc", "n", "sk"))
+        rows = durable(wide.select("node", "cid", "doc", "n", "sk").join(classes.select("cid", "sig"), "cid").select(child(F.col("node"), F.col("sig")).alias("node"), "cid", "doc", "n", "sk"))
     out = done[0]
     for x in done[1:]:
         out = out.unionAll(x)
