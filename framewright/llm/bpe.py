@@ -13,6 +13,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -80,7 +81,7 @@ class Encoder:
         self.mph = PerfectHash(self.tokens)
         self.split = regex.compile(pattern)
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self.memo: dict[str, str] = {}
+        self.memo = Memory(self)
 
     def whole(self, word: bytes) -> int | None:
         i = self.mph.find(word)
@@ -122,20 +123,22 @@ class Encoder:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def pieces(self, text: str) -> list[str]:
-        """The decimal ids of each pre-token, joined by spaces, through the bounded memory."""
-        out, memo = [], self.memo
-        words = self.split.findall(text)
-        for w in words:
-            got = memo.get(w)
-            if got is None:
-                got = " ".join(map(str, self.encode_word(w)))
-                if len(w) <= 64:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[w] = got
-            out.append(got)
-        return out
+
+class Memory(dict):
+    """Pre-token -> (its ids in decimal, its ids); worked out when first asked for, emptied when full."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, word: str) -> tuple[str, tuple[int, ...]]:
+        ids = tuple(self.encoder.encode_word(word))
+        got = " ".join(map(str, ids)), ids
+        if len(word) <= 64:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = got
+        return got
 
 
 _encoders: dict[str, Encoder] = {}
@@ -171,8 +174,9 @@ def encode_decode(docs: DataFrame, path: str | None = None, pattern: str | None
                 part = batch.slice(start, 512)
                 n, sha, back, all_ids, raw = [], [], [], [], []
                 for t in part.column("text"):
-                    joined = " ".join(enc.pieces(t.as_py() or ""))
-                    own = list(map(int, joined.split()))
+                    pieces = list(map(enc.memo.__getitem__, enc.split.findall(t.as_py() or "")))
+                    joined = " ".join([p[0] for p in pieces])
+                    own = list(chain.from_iterable([p[1] for p in pieces]))
                     plain = b"".join(map(table_of.__getitem__, own))
                     n.append(len(own))
                     sha.append(hashlib.sha256(joined.encode()).hexdigest())
