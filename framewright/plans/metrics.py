@@ -68,18 +68,18 @@ o AS (SELECT s.stroke, s.j AS j1, t.j AS j2, (s.bx - s.ax) * (t.ay - s.ay) - (s.
   (t.bx - t.ax) * (s.ay - t.ay) - (t.qy - t.ay) * (s.ax - t.ax) AS o3, (t.bx - t.ax) * (s.qy - t.ay) - (t.qy - t.ay) * (s.bx - t.ax) AS o4 FROM seg s JOIN seg t ON t.stroke = s.stroke AND t.j > s.j + 1 WHERE s.j < 8 AND t.j < 8)
 SELECT stroke, count(*) FILTER (WHERE sign(o1) * sign(o2) < 0 AND sign(o3) * sign(o4) < 0) AS crossings FROM o GROUP BY 1""", "poly"))
 def segment_crossings(spark, sf_dir):
-    """How often the first eight pieces of a stroke cross each other."""
-    from framewright.plans.polyline import at, strokes
+    """How often the pieces of a stroke cross each other, neighbours aside. All pairs, inside the stroke's row."""
+    from framewright.plans.polyline import N, at, strokes
 
     def side(a, b, c):
         return F.signum((b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"]))
 
-    hits = F.lit(0)
-    for i in range(8):
-        for k in range(i + 2, 8):
-            a, b, c, d = at("p", i), at("p", i + 1), at("p", k), at("p", k + 1)
-            hits = hits + F.when((side(a, b, c) * side(a, b, d) < 0) & (side(c, d, a) * side(c, d, b) < 0), 1).otherwise(0)
-    return strokes(spark, sf_dir).select("stroke", hits.cast("long").alias("crossings"))
+    def meet(i, k):
+        a, b, c, d = at("p", i), at("p", i + 1), at("p", k), at("p", k + 1)
+        return (side(a, b, c) * side(a, b, d) < 0) & (side(c, d, a) * side(c, d, b) < 0)
+
+    later = F.transform(F.sequence(F.lit(0), F.lit(N - 4)), lambda i: F.size(F.filter(F.sequence(i + 2, F.lit(N - 2)), lambda k: meet(i, k))))
+    return strokes(spark, sf_dir).select("stroke", F.aggregate(later, F.lit(0), lambda s, n: s + n).cast("long").alias("crossings"))
 
 
 @query("jacobian", with_views("""
