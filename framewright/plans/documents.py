@@ -85,7 +85,7 @@ def stroke_document(spark, sf_dir):
 
 @query("svg_document", with_views("SELECT stroke, '<path d=\"M' || string_agg(printf('%.3f', x) || ' ' || printf('%.3f', y), ' L' ORDER BY j) || '\"/>' AS svg FROM poly WHERE j < 4 GROUP BY 1", "poly"))
 def svg_document(spark, sf_dir):
-    p = poly(spark, sf_dir).where("j < 4").groupBy("stroke").agg(F.array_sort(F.collect_list(F.struct("j", F.format_string("%.3f %.3f", "x", "y").alias("t")))).alias("r"))
+    p = poly(spark, sf_dir).groupBy("stroke").agg(F.array_sort(F.collect_list(F.struct("j", F.format_string("%.3f %.3f", "x", "y").alias("t")))).alias("r"))
     return p.select("stroke", F.concat(F.lit('<path d="M'), F.array_join(F.transform("r", lambda s: s["t"]), " L"), F.lit('"/>')).alias("svg"))
 
 

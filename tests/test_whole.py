@@ -30,3 +30,8 @@ def test_segment_crossings_counts_all_pieces(spark):
 
     got = {r.stroke: r.crossings for r in catalogue.QUERIES["segment_crossings"](spark, SF).collect()}
     assert got == {s: count(p) for s, p in points(spark).items()} and got
+
+
+def test_svg_document_writes_all_points(spark):
+    got = {r.stroke: r.svg for r in catalogue.QUERIES["svg_document"](spark, SF).collect()}
+    assert got == {s: '<path d="M' + " L".join(f"{x:.3f} {y:.3f}" for x, y in p) + '"/>' for s, p in points(spark).items()} and got
