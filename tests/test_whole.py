@@ -35,3 +35,9 @@ def test_segment_crossings_counts_all_pieces(spark):
 def test_svg_document_writes_all_points(spark):
     got = {r.stroke: r.svg for r in catalogue.QUERIES["svg_document"](spark, SF).collect()}
     assert got == {s: '<path d="M' + " L".join(f"{x:.3f} {y:.3f}" for x, y in p) + '"/>' for s, p in points(spark).items()} and got
+
+
+def test_frame_list_names_frames_of_all_orders(spark):
+    got = {(r.clip, r.i, r.name) for r in catalogue.QUERIES["frame_list"](spark, SF).collect()}
+    orders = views.table(spark, SF, "orders").select("o_orderkey", "o_custkey").collect()
+    assert got == {(o.o_orderkey, i, f"frame_{i:05d}.png") for o in orders for i in range(3, 3 + o.o_custkey % 5)} and got
