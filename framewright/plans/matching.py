@@ -104,7 +104,7 @@ def jobs_by_shot(spark, sf_dir):
     """Prompts by the shot they lie in and their target, in order of frame."""
     q = seq(spark, sf_dir)
     by_shot = Window.partitionBy("clip", "shot")
-    q = q.withColumn("shot", F.floor(F.col("i") / 20)).withColumn("lo", F.min("i").over(by_shot)).withColumn("hi", F.max("i").over(by_shot)).where("i % 4 = 0")
+    q = q.withColumn("shot", F.floor(F.col("i") / 20)).withColumn("lo", F.min("i").over(by_shot)).withColumn("hi", F.max("i").over(by_shot))
     q = q.withColumn("target", 1 + F.floor("v") % 3)
     g = q.groupBy("clip", "shot", "target", "lo", "hi").agg(F.array_sort(F.collect_list(F.struct("i", (F.col("k") != "error").cast("int").alias("label")))).alias("p"))
     return g.select("clip", "shot", "target", "lo", "hi", F.array_join(F.transform("p", lambda r: F.concat(r["i"].cast("string"), F.lit(":"), r["label"].cast("string"))), " ").alias("prompts"))

@@ -41,3 +41,13 @@ def test_frame_list_names_frames_of_all_orders(spark):
     got = {(r.clip, r.i, r.name) for r in catalogue.QUERIES["frame_list"](spark, SF).collect()}
     orders = views.table(spark, SF, "orders").select("o_orderkey", "o_custkey").collect()
     assert got == {(o.o_orderkey, i, f"frame_{i:05d}.png") for o in orders for i in range(3, 3 + o.o_custkey % 5)} and got
+
+
+def test_jobs_by_shot_takes_all_prompts(spark):
+    shots, jobs = defaultdict(list), defaultdict(list)
+    for r in views.seq(spark, SF).orderBy("clip", "i").collect():
+        shots[r.clip, r.i // 20].append(r.i)
+        jobs[r.clip, r.i // 20, 1 + int(r.v // 1) % 3].append(f"{r.i}:{int(r.k != 'error')}")
+    want = {(c, s, t, min(shots[c, s]), max(shots[c, s]), " ".join(p)) for (c, s, t), p in jobs.items()}
+    got = {(r.clip, r.shot, r.target, r.lo, r.hi, r.prompts) for r in catalogue.QUERIES["jobs_by_shot"](spark, SF).collect()}
+    assert got == want and got
