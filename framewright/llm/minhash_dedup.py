@@ -8,15 +8,21 @@ compared exhaustively up to connectivity: all with the node's leader, then, wher
 left more than one component, all pairs of different components but for those inside the largest.
 No node is cut, sampled or skipped.
 
-With similarity s, trees T and nodes that stop at level d, a pair is missed with probability
-(1 - s^d)^T: for s = 0.85 and 14 trees 3e-12 at level 1, 6e-5 at level 4.
-
-Candidates pass a size bound (exact) and a sketch of 24 one-byte minwise tokens of which 12 must
-agree (a pair at the threshold fails with a probability near 5e-5), then the full sets decide.
+A pair of similarity s agrees in a of the 32 coordinates, a binomial in s, and the trees of a group
+draw from the same coordinates. A pair that stays in a large node until level d is then missed by a
+group of T trees with probability E[(1 - (a/32)^d)^T]: for s = 0.85 and 14 trees 2e-4 at level 3,
+5.4 % at 8, 19.6 % at 12. Classes in a node that is large at a level where this exceeds ``MISSED``
+therefore go down further groups of trees, each with 32 coordinates of its own, as many as the
+deepest level reached calls for: at level 12 four more groups, 0.196^5 = 3e-4.
+
+Candidates pass a size bound (exact) and a sketch of 24 one-byte minwise tokens, of which so many
+must agree that a pair at the threshold fails with a probability under 5e-5 (12 for 0.85), then the
+full sets decide.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +34,8 @@ from framewright.llm import wordhash as W
 from framewright.llm.common import connected_components, durable, table, with_small
 
 COORDINATES = 32
+#: Probability at which the trees may miss a pair at the threshold.
+MISSED = 1e-3
 _ONES = 0x0101010101010101
 
 
@@ -36,6 +44,18 @@ def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
     return a, W.mix(a)
 
 
+def _missed(level: int, trees: int, s: float) -> float:
+    """Probability that a group of trees misses a pair that stays in large nodes until this level."""
+    n = COORDINATES
+    return sum(math.comb(n, a) * s**a * (1 - s) ** (n - a) * (1 - (a / n) ** level) ** trees for a in range(n + 1))
+
+
+def _bar(s: float) -> int:
+    """How many of the sketch's 24 bytes must agree: a pair at the threshold has fewer with a probability under 5e-5."""
+    fewer = lambda b: sum(math.comb(24, a) * s**a * (1 - s) ** (24 - a) for a in range(b))
+    return max(b for b in range(13) if fewer(b) < 5e-5)
+
+
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
     data, off = W.utf8(batch.column("text"))
     for i, j in W.chunks(off):
@@ -49,9 +69,9 @@ def _class_id(u: np.ndarray) -> bytes:
     return np.array([W.mix(u).sum(dtype=np.uint64), W.mix(u ^ np.uint64(0xABCDEF0123456789)).sum(dtype=np.uint64) + np.uint64(len(u))], np.uint64).tobytes()
 
 
-def profiles(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, cid, sig, sk): size, identity and minwise tokens of each text's shingle set."""
-    a, b = _seeds(COORDINATES)
+def profiles(docs: DataFrame, k: int, first: int = 0, groups: int = 1) -> DataFrame:
+    """(doc_id, n_shingles, cid, sig, sk): size, identity and minwise tokens of each text's shingle set, from group ``first`` of the coordinates on."""
+    a, b = (x[first * COORDINATES :] for x in _seeds((first + groups) * COORDINATES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,7 +83,7 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
                     sig.append(None)
                     sk.append(None)
                     continue
-                low = np.empty(COORDINATES, np.uint64)
+                low = np.empty(len(a), np.uint64)
                 for x in range(0, len(u), 8192):
                     part = (u[x : x + 8192][:, None] * a + b).min(axis=0)
                     low = part if not x else np.minimum(low, part)
@@ -87,13 +107,18 @@ def _agree(x: str, y: str) -> str:
     return f"(24 - {' - '.join(out)})"
 
 
-def _leaves(classes: DataFrame, trees: int, small: int, depth: int) -> DataFrame:
-    """(node, cid, doc, n, sk, lead): members of all nodes at which branching ended and that hold two classes or more."""
-    child = lambda node, sig: F.xxhash64(node, F.element_at(sig, (F.pmod(F.xxhash64(node, F.lit("coordinate")), F.lit(COORDINATES)) + 1).cast("int")))
-    rows = classes.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "*").select(
-        F.xxhash64("tree", F.element_at("sig", F.col("tree") % COORDINATES + 1)).alias("node"), "cid", "doc", "n", "sk"
+def _leaves(classes: DataFrame, trees: int, small: int, depth: int, sound: int, first: int = 0, groups: int = 1) -> tuple[DataFrame, int, DataFrame | None]:
+    """(node, cid, doc, n, sk, lead): members of all nodes at which branching ended and that hold two classes or more.
+
+    With it the deepest level, and the classes that were in a large node at level ``sound`` and went
+    on from there (None if none did).
+    """
+    base = (F.col("tree") / trees).cast("int") * COORDINATES + 1
+    token = lambda at: F.element_at("sig", (base + at).cast("int"))
+    rows = classes.select(F.explode(F.sequence(F.lit(0), F.lit(trees * groups - 1))).alias("tree"), "*").select(
+        "tree", F.xxhash64(F.col("tree") + first * trees, token(F.col("tree") % trees % COORDINATES)).alias("node"), "cid", "doc", "n", "sk"
     )
-    done, level = [], 1
+    done, deep, level = [], None, 1
     while True:
         nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min(F.struct("cid", "doc", "n", "sk")).alias("lead")).where("size > 1")
         members = durable(rows.join(nodes, "node"))
@@ -103,12 +128,29 @@ def _leaves(classes: DataFrame, trees: int, small: int, depth: int) -> DataFrame
         done.append((members.where(leaf) if more else members).select("node", "cid", "doc", "n", "sk", "lead"))
         if not more:
             break
+        if level == sound:
+            deep = durable(wide.select("cid", "doc", "n", "sk").dropDuplicates(["cid"]))
         level += 1
-        rows = durable(wide.select("node", "cid", "doc", "n", "sk").join(classes.select("cid", "sig"), "cid").select(child(F.col("node"), F.col("sig")).alias("node"), "cid", "doc", "n", "sk"))
+        at = F.pmod(F.xxhash64("node", F.lit("coordinate")), F.lit(COORDINATES))
+        rows = durable(wide.select("tree", "node", "cid", "doc", "n", "sk").join(classes.select("cid", "sig"), "cid").select("tree", F.xxhash64("node", token(at)).alias("node"), "cid", "doc", "n", "sk"))
     out = done[0]
     for x in done[1:]:
         out = out.unionAll(x)
-    return out
+    return out, level, deep
+
+
+def _more_leaves(docs: DataFrame, deep: DataFrame, k: int, trees: int, small: int, depth: int, sound: int, missed: float, s: float) -> Iterator[DataFrame]:
+    """Leaves of further groups of trees over the classes of deep nodes, until pairs in them are found too."""
+    ids = durable(deep.select(F.col("doc").alias("doc_id")))
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(with_small(ids, ids.count(), 16), "doc_id", "left_semi")
+    first, level = 1, depth
+    while missed > MISSED:
+        groups = max(1, math.ceil(math.log(MISSED / missed) / math.log(_missed(level, trees, s))))
+        sigs = profiles(chosen, k, first, groups).where("n_shingles > 0").select("cid", "sig").dropDuplicates(["cid"])
+        leaves, level, _ = _leaves(durable(deep.join(sigs, "cid")), trees, small, depth, sound, first, groups)
+        yield leaves
+        missed *= _missed(level, trees, s) ** groups
+        first += groups
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -162,10 +204,15 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int =
     prof = durable(profiles(docs, k))
     whole = prof.where("n_shingles > 0 and doc_id is not null")
     classes = durable(whole.groupBy("cid").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("sk").alias("sk")))
-    leaves = _leaves(classes, trees, small, depth)
-    fits = f"100 * least(n, lead.n) >= {percent} * greatest(n, lead.n) and {_agree('sk', 'lead.sk')} >= 12"
+    s = percent / 100
+    sound = max([d for d in range(1, depth + 1) if _missed(d, trees, s) <= MISSED], default=1)
+    leaves, level, deep = _leaves(classes, trees, small, depth, sound)
+    fits = f"100 * least(n, lead.n) >= {percent} * greatest(n, lead.n) and {_agree('sk', 'lead.sk')} >= {_bar(s)}"
     stars = durable(leaves.where("cid <> lead.cid").where(fits).select(F.col("lead.cid").alias("a"), F.col("cid").alias("b"), F.col("lead.doc").alias("doc_a"), F.col("doc").alias("doc_b")).distinct())
     near = durable(connected_components(_verified(docs, stars, k, percent), "doc_a", "doc_b"))
+    if deep is not None:
+        for more in _more_leaves(docs, deep, k, trees, small, depth, sound, _missed(level, trees, s), s):
+            leaves = leaves.unionAll(more)
     rest = _verified(docs, _apart(leaves, near, percent), k, percent).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
     # an id with several texts holds their classes together
     several = whole.groupBy("doc_id").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x <> y").select("doc_id")
@@ -196,7 +243,7 @@ def _apart(leaves: DataFrame, near: DataFrame, percent: int) -> DataFrame:
         mixed.where("component <> main")
         .select("node", side("x"))
         .join(mixed.select("node", "main", side("y")), "node")
-        .where(f"x.component <> y.component and (y.component = main or x.cid < y.cid) and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {_agree('x.sk', 'y.sk')} >= 12")
+        .where(f"x.component <> y.component and (y.component = main or x.cid < y.cid) and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {_agree('x.sk', 'y.sk')} >= {_bar(percent / 100)}")
         .select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), F.col("x.doc").alias("doc_a"), F.col("y.doc").alias("doc_b"))
         .distinct()
     )
