@@ -85,7 +85,7 @@ class Pseudonyms:
         r"|(?P<card>(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))"
         r"|(?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9]))"
     )
-    HINT = re.compile(r"[0-9@]")
+    HINT = re.compile(r"[0-9@=:]|AKIA")
     HEX = re.compile("(?=.*[0-9])(?=.*[a-f])[0-9a-f]{8,}")
     #: First address and size of networks with a meaning of their own, which their addresses stay in: this host, 10/8, loopback, 172.16/12, 192.168/16, multicast and beyond.
     BLOCKS = ((0, 1 << 24), (10 << 24, 1 << 24), (127 << 24, 1 << 24), (0xAC100000, 1 << 20), (0xC0A80000, 1 << 16), (224 << 24, 1 << 29))
