@@ -51,7 +51,9 @@ def test_same_components_as_brute_force(spark, small):
     assert {i: r.n_shingles for i, r in got.items()} == {i: len(sets(t, 3)) for i, t in data}
 
 
-def test_large_group_of_near_copies(spark):
+@pytest.mark.parametrize("block", [8, 1024])
+def test_large_group_of_near_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(m, "BLOCK", block)
     base = prose(7, 120).split()
     data = [(i, " ".join([*base[: i % 120], f"w{i}", *base[i % 120 + 1 :]])) for i in range(150)] + [(1000 + i, prose(2000 + i, 50)) for i in range(20)]
     got = {r.doc_id: r.component_id for r in m.near_duplicates(docs(spark, data, clash=False), small=4).collect()}
@@ -70,6 +72,12 @@ def test_odd_rows(spark):
     assert by[9][0][1:] == (6, False) and by[10] == [(1, 7, False)] and by[7] == [(1, 7, True)]
 
 
+def test_longer_shingles_at_a_lower_threshold(spark):
+    data = varied(seed=8)
+    got = {r.doc_id: r.component_id for r in m.near_duplicates(docs(spark, data), k=5, percent=80).collect()}
+    assert got == brute(data, 5, 80)
+
+
 def test_empty_table(spark):
     assert m.near_duplicates(docs(spark, [])).count() == 0
 
@@ -83,7 +91,9 @@ def templated(pairs, seed=3):
     return [(i, " ".join(w)) for i, w in enumerate(out)]
 
 
-def test_pairs_in_a_large_templated_group(spark):
+@pytest.mark.parametrize("block", [8, 1024])
+def test_pairs_in_a_large_templated_group(spark, monkeypatch, block):
+    monkeypatch.setattr(m, "BLOCK", block)  # with 8, nodes of the last level are compared by leaders and blocks
     data = templated(300)
     want = brute(data, 3, 85)
     assert sum(c != i for i, c in want.items()) == 300  # the pairs and nothing else
