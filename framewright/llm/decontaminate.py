@@ -3,6 +3,13 @@
 A mask selects some of the next few token positions and ignores the rest, so a substituted token in
 an ignored place doesn't matter. The masked token hashes of benchmark items and of documents are
 joined; a hit fixes how the item lies on the document, and all its tokens are then compared there.
+
+The four masks select four tokens of five in a row. An item of n tokens of which n // 5 are
+substituted has, among n // 5 windows of five, one with a single substitution at most, which one of
+the masks avoids: no overlap of four fifths in place is lost, at any length from five on. A
+substitution lies in five windows, so at least n - 4 - 5/2 * n // 5 windows have one at most, and
+each seed serves two windows at most: lays of long items with fewer hits than half of that are
+dropped before their tokens are compared.
 """
 
 from __future__ import annotations
@@ -12,8 +19,10 @@ from pyspark.sql import functions as F
 
 from framewright.llm.common import durable, table, with_small
 
-#: Selected positions. Between them they avoid any one substitution in eight tokens, and one in five at a regular distance.
-MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 6, 8))
+#: Selected positions.
+MASKS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4))
+#: What the masks are made for: this share of an item's tokens in place, and items of so many tokens.
+SHARE, LEAST_WORDS = 0.8, 5
 _NULL_ID = -(1 << 63)
 
 
@@ -22,46 +31,48 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
 
 
-def _masked(words: str, masks: list[tuple[int, ...]]) -> Column:
-    """Array of (pos, hash) for all masks at all positions at which they fit."""
-
-    def one(k: int, mask: tuple[int, ...]) -> Column:
-        at = F.sequence(F.lit(0), F.size(words) - mask[-1] - 1)
-        hashes = F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(k), *(F.get(words, i + o) for o in mask)).alias("hash")))
-        return F.when(F.size(words) > mask[-1], hashes).otherwise(F.array().cast("array<struct<pos:int,hash:bigint>>"))
+def _seeds(rows: DataFrame, *keep: str) -> DataFrame:
+    """(keep, pos, hash) for all masks at all positions of the token hashes ``w`` at which they fit.
 
-    return F.flatten(F.array(*(one(k, m) for k, m in enumerate(masks))))
+    Positions are exploded first, so that the hashes are computed in generated code; a mask's own
+    number is part of its hash.
+    """
+    placed = rows.where(F.size("w") >= 4).select(*keep, "w", F.explode(F.sequence(F.lit(0), F.size("w") - 4)).alias("pos"))
+    at = lambda o: F.get("w", F.col("pos") + o)
+    hashes = [F.when(at(m[-1]).isNotNull(), F.xxhash64(F.lit(k), *map(at, m))) for k, m in enumerate(MASKS)]
+    return placed.select(*keep, "pos", F.explode(F.array(*hashes)).alias("hash")).where("hash is not null")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, least_words: int = 5) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, text_hash, item_id, start, n_words, n_equal): where a benchmark item lies in a document.
 
     Reported once for each document and item, at the place where most tokens agree (the first of
-    those), if at least ``share`` of the item's tokens are found there in their places. Items of
-    fewer than ``least_words`` tokens say too little and are ignored; those too short for a mask have
-    all their tokens hashed. Rows that repeat are one; a null doc_id is reported as null; null or
-    empty texts hold nothing. The benchmark side is broadcast only if its measured size allows it,
-    else both sides are shuffled by hash. Repeated benchmark texts are separate items.
+    those), if at least ``share`` (0.8 or more) of the item's tokens are found there in their places.
+    Items of fewer than ``least_words`` (5 or more) tokens say too little and are ignored. Rows that
+    repeat are one; a null doc_id is reported as null; null or empty texts hold nothing. The
+    benchmark side is broadcast only if its measured size allows it, else both sides are shuffled by
+    hash. Repeated benchmark texts are separate items.
     """
-    items = durable(benchmark.where("item_id is not null").select("item_id", tokens(F.col("text")).alias("item")).distinct().where(F.size("item") >= least_words))
-    shortest = max(m[-1] for m in MASKS) + 1
-    short = [r[0] for r in items.where(F.size("item") < shortest).select(F.size("item")).distinct().collect()]  # at most one row for each length under nine
-    masks = [*MASKS, *(tuple(range(n)) for n in sorted(short))]
-    seeds = durable(items.withColumn("w", F.transform("item", lambda x: F.xxhash64(x))).select("item_id", F.explode(_masked("w", masks)).alias("m")).select("item_id", F.col("m.pos").alias("at"), "m.hash").distinct())
+    if share < SHARE or least_words < LEAST_WORDS:
+        raise ValueError(f"the masks find overlaps of {SHARE} in items of {LEAST_WORDS} tokens or more")
+    items = benchmark.where("item_id is not null").select("item_id", tokens(F.col("text")).alias("item")).distinct().where(F.size("item") >= least_words)
+    items = durable(items.withColumn("n", F.size("item")))
+    n_items, n_bytes = items.agg(F.count("*"), F.coalesce(F.sum(F.length(F.array_join("item", " ")) + 8 * F.col("n")), F.lit(0))).first()
+    seeds = durable(_seeds(items.withColumn("w", F.transform("item", lambda x: F.xxhash64(x))), "item_id", "n").select("item_id", "n", F.col("pos").alias("at"), "hash").distinct())
     n_seeds = seeds.count()
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("did"), F.xxhash64("text").alias("text_hash"), "text")
     hashed = own.select("did", "text_hash", F.transform(tokens(F.col("text")), lambda x: F.xxhash64(x)).alias("w"))
-    placed = hashed.select("did", "text_hash", F.explode(_masked("w", masks)).alias("m")).select("did", "text_hash", "m.pos", "m.hash")
-    lays = durable(placed.join(with_small(seeds, n_seeds, 24), "hash").select("did", "text_hash", "item_id", (F.col("pos") - F.col("at")).alias("start")).distinct())
-    per_doc = lays.groupBy("did", "text_hash").agg(F.collect_list(F.struct("item_id", "start")).alias("lays"))
-    hit_docs = durable(own.join(with_small(lays.select("did", "text_hash").distinct(), lays.count(), 24), ["did", "text_hash"], "left_semi").select("did", "text_hash", tokens(F.col("text")).alias("words")).distinct())
-    at = hit_docs.join(per_doc, ["did", "text_hash"]).select("did", "text_hash", "words", F.explode("lays").alias("l")).select("did", "text_hash", "words", "l.*")
-    n_items = items.count()
-    found = at.join(with_small(items, n_items, 4096), "item_id")
-    window = F.slice("words", F.greatest(F.col("start") + 1, F.lit(1)), F.size("item") + F.least(F.col("start"), F.lit(0)))
+    hits = _seeds(hashed, "did", "text_hash").join(with_small(seeds, n_seeds, 32), "hash").select("did", "text_hash", "item_id", "n", (F.col("pos") - F.col("at")).alias("start"))
+    lays = hits.groupBy("did", "text_hash", "item_id", "n", "start").agg(F.count("*").alias("hits")).where(F.col("hits") >= (F.col("n") - 4 - 2.5 * F.floor(F.col("n") / 5)) / 2).drop("hits")
+    lays = durable(lays)
+    where_found = durable(lays.select("did", "text_hash").distinct())
+    hit_docs = durable(own.join(with_small(where_found, where_found.count(), 24), ["did", "text_hash"], "left_semi").select("did", "text_hash", tokens(F.col("text")).alias("words")).distinct())
+    window = F.slice("words", F.greatest(F.col("start") + 1, F.lit(1)), F.col("n") + F.least(F.col("start"), F.lit(0)))
+    at = hit_docs.join(lays, ["did", "text_hash"]).select("did", "text_hash", "item_id", "start", window.alias("window"))
+    found = at.join(with_small(items, n_bytes + 16 * n_items, 1), "item_id")
     rest = F.slice("item", F.greatest(-F.col("start"), F.lit(0)) + 1, F.size("item"))
-    equal = F.size(F.filter(F.zip_with(rest, window, lambda a, b: a == b), lambda x: x))
-    found = found.select("did", "text_hash", "item_id", "start", F.size("item").alias("n_words"), equal.alias("n_equal")).where(F.col("n_equal") >= share * F.col("n_words"))
+    equal = F.size(F.filter(F.zip_with(rest, "window", lambda a, b: a == b), lambda x: x))
+    found = found.select("did", "text_hash", "item_id", "start", F.col("n").alias("n_words"), equal.alias("n_equal")).where(F.col("n_equal") >= share * F.col("n_words"))
     best = found.groupBy("did", "text_hash", "item_id").agg(F.max(F.struct("n_equal", (-F.col("start")).alias("back"), "n_words")).alias("b"))
     return best.select(
         F.when(F.col("did") != _NULL_ID, F.col("did")).alias("doc_id"), "text_hash", "item_id", (-F.col("b.back")).cast("long").alias("start"), F.col("b.n_words").cast("long").alias("n_words"), F.col("b.n_equal").cast("long").alias("n_equal")
@@ -78,20 +89,12 @@ def query(spark, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "start", "n_words", "n_equal")
 
 
-def _oracle() -> str:
-    cut = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
-    hits = []
-    for mask in MASKS:
-        seed = " || ' ' || ".join(f"w[i+{o}]" for o in mask)
-        hits.append(f"SELECT d.doc_id, b.item_id, d.i - b.i AS start FROM (SELECT doc_id, i, {seed} AS s FROM dp WHERE i + {mask[-1]} <= len(w)) d JOIN (SELECT item_id, i, {seed} AS s FROM bp WHERE i + {mask[-1]} <= len(w)) b USING (s)")
-    return f"""
-WITH dw AS (SELECT doc_id, {cut} AS w FROM documents), bw AS (SELECT item_id, {cut} AS w FROM benchmark),
-dp AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM dw), bp AS (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM bw WHERE len(w) >= 9),
-hits AS ({" UNION ".join(hits)}),
-placed AS (SELECT h.doc_id, h.item_id, h.start, len(bw.w) AS n_words, len(list_filter(range(1, len(bw.w) + 1), lambda j: h.start + j >= 1 AND bw.w[j] = dw.w[h.start + j])) AS n_equal FROM hits h JOIN dw USING (doc_id) JOIN bw USING (item_id)),
-ok AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, start) AS r FROM placed WHERE n_equal >= 0.8 * n_words)
-SELECT doc_id, item_id, start::BIGINT AS start, n_words::BIGINT AS n_words, n_equal::BIGINT AS n_equal FROM ok WHERE r = 1
+#: All placements, without seeds: equal tokens of a document and an item are counted by the place where the item would begin.
+ORACLE = r"""
+WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents),
+bw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
+dp AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM dw), bp AS (SELECT item_id, len(w) AS n, unnest(w) AS x, unnest(range(len(w))) AS j FROM bw WHERE len(w) >= 5),
+lays AS (SELECT doc_id, item_id, n, i - j AS start, count(*) AS n_equal FROM dp JOIN bp USING (x) GROUP BY ALL HAVING count(*) >= 0.8 * n),
+ok AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, start) AS r FROM lays)
+SELECT doc_id, item_id, start::BIGINT AS start, n::BIGINT AS n_words, n_equal::BIGINT AS n_equal FROM ok WHERE r = 1
 """
-
-
-ORACLE = _oracle()

@@ -1,3 +1,8 @@
+import itertools
+import random
+
+import pytest
+
 from framewright.llm import decontaminate as m
 from tests.llm.helpers import ODD, docs, prose, rows
 
@@ -38,3 +43,49 @@ def test_odd_rows(spark):
     kept = m.clean(d, b)
     assert kept.columns == d.columns and kept.count() == len(ODD)
     assert m.clean(d, bench(spark, [])).count() == len(ODD) + 3 and m.overlaps(docs(spark, []), b).count() == 0
+
+
+def brute(data, items):
+    """All placements of all items."""
+    out = []
+    for i, text in data:
+        w = text.lower().split()
+        for j, item in items:
+            v = item.lower().split()
+            best = max((sum(0 <= s + x < len(w) and w[s + x] == y for x, y in enumerate(v)), -s) for s in range(-len(v), len(w) + 1))
+            if best[0] >= 0.8 * len(v):
+                out.append((i, j, -best[1], best[0]))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("n", [5, 6, 7, 8, 10, 12, 15])
+def test_every_pattern_of_a_fifth_substituted(spark, n):
+    item = prose(700 + n, n)
+    data = []
+    for places in itertools.combinations(range(n), n // 5):
+        w = item.split()
+        for p in places:
+            w[p] = f"x{p}"
+        data.append((len(data), f"some words {' '.join(w)} and more"))
+    got = rows(m.overlaps(docs(spark, data, clash=False), bench(spark, [(0, item)])), "doc_id", "n_equal")
+    assert got == sorted(((i, n - n // 5) for i, _ in data), key=str)
+
+
+def test_like_all_placements(spark):
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(12)]
+    items = [(i, " ".join(r.choice(words) for _ in range(r.randrange(5, 40)))) for i in range(12)]
+    data = []
+    for i in range(60):
+        w = r.choice(items)[1].split()
+        for _ in range(r.randrange(0, 2 + len(w) // 4)):
+            w[r.randrange(len(w))] = r.choice(words)
+        cut = r.choice([0, 0, 1, 3])
+        data.append((i, " ".join([r.choice(words) for _ in range(r.randrange(6))] + w[cut:] + [r.choice(words) for _ in range(r.randrange(6))])))
+    got = rows(m.overlaps(docs(spark, data, clash=False), bench(spark, items)), "doc_id", "item_id", "start", "n_equal")
+    assert got == brute(data, items) and len(got) > 30
+
+
+def test_parameters_beyond_the_masks(spark):
+    with pytest.raises(ValueError):
+        m.overlaps(docs(spark, []), bench(spark, []), share=0.7)
