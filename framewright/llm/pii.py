@@ -80,7 +80,7 @@ class Pseudonyms:
         r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
         r"|(?P<iso>(?<![0-9-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9-]))"
         r"|(?P<dmy>(?<![0-9./-])[0-9]{2}(?P<sep>[./])[0-9]{2}(?P=sep)(?:19|20)[0-9]{2}(?![0-9]))"
-        r"|(?P<phone>\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9]))"
+        r"|(?P<phone>\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9.-])[2-9][0-9]{2}(?P<dot>[.-])[2-9][0-9]{2}(?P=dot)[0-9]{4}(?![.-]?[0-9]))"
         r"|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
         r"|(?P<card>(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))"
         r"|(?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9]))"
@@ -142,15 +142,16 @@ class Pseudonyms:
             ok = lambda x: x[:3] not in ("000", "666") and x[0] != "9" and x[3:5] != "00" and x[5:] != "0000"
             return _refill(s, self._digits(d, "ssn", ok, back)) if ok(d) else None
         if kind == "phone":
+            north = lambda x: x[0] in "23456789" and x[3] in "23456789"
+            if (len(d) == 10 and s[0] != "+" or len(d) == 11 and s.startswith("+1")) and north(d[-10:]):
+                return _refill(s, d[:-10] + self._digits(d[-10:], "phone north", north, back))  # linked with and without the country code
             code = re.match(r"\+([0-9]{1,3}?)(?=[ .(-])", s)
             head = code[1] if code else ""
             rest = d[len(head) :]
             if len(rest) < 7 or len(d) > 15:
                 return None
-            north = (lambda x: x[0] in "23456789" and x[3] in "23456789") if head in ("", "1") and len(rest) == 10 else None
-            if north and not north(rest):
-                north = None
-            return _refill(s, head + self._digits(rest, f"phone{head}{bool(north)}", north, back))
+            other = (lambda x: not north(x)) if head == "1" and len(rest) == 10 or not head and s[0] != "+" else (lambda x: not (x[0] == "1" and north(x[1:]))) if not head and len(rest) == 11 else None
+            return _refill(s, head + self._digits(rest, f"phone{head}", other, back))
         if kind == "ip":
             octets = [int(x) for x in s.split(".")]
             if max(octets) > 255 or any(str(o) != x for o, x in zip(octets, s.split("."), strict=True)):
@@ -204,7 +205,7 @@ def pseudonymise(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
     """(doc_id, text, kinds), a row for each row of ``docs`` (doc_id, text, any others).
 
     Emails keep their host, cards their first digit and a valid checksum, phones their country code
-    and punctuation, private networks of a special use their addresses; dates stay in 1900-2099. What fails its
+    and punctuation (North American numbers are linked with and without +1), private networks of a special use their addresses; dates stay in 1900-2099. What fails its
     checksum or calendar isn't personal data and stays. A null text stays null, an empty one empty,
     both without kinds; repeated rows are treated alike. Whole texts, nothing shuffled.
     """

@@ -4,6 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from framewright.llm import pii
+from framewright.llm.common import table
 from tests.llm.helpers import ODD, docs
 
 P = pii.Pseudonyms(b"key")
@@ -70,3 +71,39 @@ def test_values_of_letters_only():
         assert len(kinds) == 1 and new != text and P.text(new, back=True) == (text, kinds)
     alone, beside = (P.text(t)[0] for t in ("token=correcthorse", "7 token=correcthorse"))
     assert beside == "7 " + alone  # equal values stay linked
+
+
+def test_phones_are_linked_in_all_spellings():
+    spellings = ["(743) 555-3824", "+1 (743) 555-3824", "+17435553824", "743-555-3824", "743.555.3824", "+1 743 555 3824", "+1-743-555-3824"]
+    new = [P.text(f"call {x}.") for x in spellings]
+    assert all(kinds == ["phone"] for _, kinds in new)
+    assert len({"".join(c for c in t if c.isdigit())[-10:] for t, _ in new}) == 1
+    assert [P.text(t, back=True)[0] for t, _ in new] == [f"call {x}." for x in spellings]
+    for x in ("+1 123 555 3824", "+11235553824", "+44 20 7946 0958", "+4420794609", "(043) 555-3824"):
+        t, kinds = P.text(x)
+        assert kinds == ["phone"] and P.text(t, back=True) == (x, kinds)
+    assert P.text("743-555-38245 1743-555-3824 043-555-3824")[1] == []
+
+
+def test_permutations_by_brute_force():
+    """Over whole small formats: one to one, onto the valid values, and back."""
+    days = [(datetime.date(1900, 1, 1) + datetime.timedelta(i)).isoformat() for i in range(0, 73049)]
+    assert sorted(P.value("iso", d) for d in days) == days
+    ssn = [f"219-{g:02d}-00{n:02d}" for g in range(1, 100) for n in range(1, 100)]
+    new = [P.value("ssn", x) for x in ssn]
+    assert len(set(new)) == len(ssn) and all(P.value("ssn", y, back=True) == x for x, y in zip(ssn[::97], new[::97], strict=True))
+    loop = [f"127.{a}.{b}.{c}" for a in (0, 255) for b in (0, 255) for c in range(256)]
+    assert len({P.value("ip", x) for x in loop}) == len(loop) and all(P.value("ip", x).startswith("127.") for x in loop)
+
+
+def test_query_like_a_plain_loop(spark):
+    """Every text of the table, one after the other, and back again."""
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
+    got = {r.doc_id: r for r in pii.query(spark, sf).collect()}
+    own = pii.Pseudonyms(pii.DEMO_KEY)
+    assert got.keys() == texts.keys() and sum(r.n_values for r in got.values()) > 20
+    for i, text in texts.items():
+        want, kinds = own.text(text)
+        assert (got[i].text, got[i].kinds, got[i].n_values) == (want, ",".join(kinds), len(kinds))
+        assert own.text(want, back=True)[0] == text
