@@ -3,13 +3,15 @@
 Training counts words per language over a bounded sample of documents and, from the distinct words,
 character n-grams. A known word scores its smoothed log frequency in each language; an unseen word
 falls back to its character n-grams of the longest order of which the model knows any, down to
-single letters. A document's score is the softmax of the mean over its words.
+single letters. A document's score is the softmax of its words' summed log frequencies divided by the
+root of their number.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import sys
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 
 from framewright.llm.common import crc_mod, table
 
-#: A word is a run of letters, marks kept out; digits and underscores end it.
-WORD = re.compile(r"[^\W\d_]+")
+#: Word characters that are neither letters, decimal digits nor the underscore, such as the superscript two.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+#: A word is a run of letters, marks kept out; digits, other numerals and underscores end it.
+WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 ORDERS = (5, 4, 3, 2, 1)
 UND = "und"
 #: Unseen words whose scores a worker remembers.

@@ -1,3 +1,4 @@
+import math
 import random
 
 from framewright.llm import langid, toxicity
@@ -27,6 +28,66 @@ def test_language_of_known_and_unseen_words(spark):
     assert {p for i, p, _ in got if i in (1, 2, 3, 8)} == {"und"}
 
 
+def test_numerals_are_no_letters(spark):
+    model = langid.train(lang_docs(spark)[1])
+    for text in ("\u00b2", "\u00bd\u2460", "\u2167 \u00b3 7_7", "\U0001f101"):
+        assert model.predict(text) == ("und", 0.0)
+    assert model.predict("ala\u00b2bol") == model.predict("ala bol")
+
+
+def plain_language(train, text):
+    """The same method word by word, in dictionaries."""
+    langs = sorted({l for _, _, l in train})
+    counts = {l: {} for l in langs}
+    for _, t, l in train:
+        for w in t.lower().split():
+            counts[l][w] = counts[l].get(w, 0) + 1
+    known = {w for l in langs for w in counts[l]}
+    share = {l: {w: math.log((counts[l].get(w, 0) + 0.5) / (sum(counts[l].values()) + 0.5 * len(known))) for w in known} for l in langs}
+    cut = lambda w, m: [w[a : a + 1] for a in range(len(w))] if m == 1 else [f"<{w}>"[a : a + m] for a in range(len(w) + 3 - m)]
+    grams = {m: {l: {} for l in langs} for m in langid.ORDERS}
+    for m in langid.ORDERS:
+        for l in langs:
+            for w, c in counts[l].items():
+                for g in cut(w, m):
+                    grams[m][l][g] = grams[m][l].get(g, 0) + math.log1p(c)
+
+    def score(w, l):
+        if w in known:
+            return share[l][w]
+        for m in langid.ORDERS:
+            kinds = {g for x in langs for g in grams[m][x]}
+            if found := [g for g in cut(w, m) if g in kinds]:
+                return sum(math.log((grams[m][l].get(g, 0) + 0.5) / (sum(grams[m][l].values()) + 0.5 * len(kinds))) for g in found) / len(found)
+        return 0.0
+
+    words = text.lower().split()
+    z = {l: sum(score(w, l) for w in words) / math.sqrt(len(words)) for l in langs}
+    total = sum(math.exp(v - max(z.values())) for v in z.values())
+    best = max(langs, key=lambda l: z[l])
+    return best, 1 / total
+
+
+def test_language_by_brute_force(spark):
+    data, d = lang_docs(spark, 24)
+    texts = [text_of(l, 500 + i, n) + tail for l in STEMS for i, n in enumerate((1, 3, 12)) for tail in ("", " alxqu", " zzz")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs(spark, list(enumerate(texts))), langid.train(d)).collect()}
+    for i, t in enumerate(texts):
+        lang, score = plain_language(data, t)
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-4
+
+
+def test_kept_rows_are_those_identified(spark):
+    _, d = lang_docs(spark)
+    model = langid.train(d)
+    data = [*ODD, (30, text_of("xx", 77)), (31, "ala \u00f6st qui")]
+    table = docs(spark, data)
+    kept = langid.keep(table, model, 0.9)
+    assert kept.schema == table.schema
+    want = sorted((t for _, t in data if model.predict(t)[0] != "und" and model.predict(t)[1] >= 0.9), key=str)
+    assert sorted((r.text for r in kept.collect()), key=str) == want and text_of("xx", 77) in want
+
+
 def test_language_without_training_rows(spark):
     model = langid.train(spark.createDataFrame([(1, None, "xx"), (2, "abc", None)], "doc_id long, text string, lang string"))
     assert rows(langid.identify(docs(spark, [(1, "abc")]), model), "doc_id", "lang_pred", "score") == [(1, "und", 0.0)]
