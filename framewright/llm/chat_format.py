@@ -15,10 +15,14 @@ from framewright.llm.common import table
 TRAINED = "assistant"
 
 
+def _row() -> Column:
+    """A turn as it sorts: by number, those without one last, then by role and text."""
+    return F.struct(F.col("turn").isNull().alias("unplaced"), "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def _turns(side: str) -> Column:
     """A side's turns in order; rows that repeat are one turn, different rows of one turn number keep an order of their own."""
-    row = F.struct("turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return F.array_sort(F.collect_set(F.when(F.col("side") == side, row)))
+    return F.array_sort(F.collect_set(F.when(F.col("side") == side, _row())))
 
 
 def _head(t: Column) -> Column:
@@ -69,9 +73,7 @@ def stale_reply_pairs(conversations: DataFrame) -> DataFrame:
     An only reply gives way to an empty one. Without an assistant turn both sides are the whole
     conversation. (conv_id, turn, role, text) in; rows of a null conv_id make no pair.
     """
-    conv = (
-        conversations.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_set(F.struct("turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
-    )
+    conv = conversations.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_set(_row())).alias("t"))
     said = F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: F.element_at("t", i)["role"] == TRAINED)
     conv = conv.withColumn("said", said).withColumn("last", F.coalesce(F.array_max("said"), F.size("t")))
     before = F.when(F.size("said") > 1, F.element_at("t", F.element_at("said", F.when(F.size("said") > 1, F.lit(-2)).otherwise(F.lit(-1))))["text"]).otherwise(F.lit(""))
