@@ -2,9 +2,11 @@
 
 The labels of a host are reversed and each ended by a dot, so that a host and all its subdomains are
 one interval of the sorted keys; a path prefix is an interval as well. Prefix intervals nest or are
-disjoint: walking the sorted union of keys and interval starts, the rules active at a key are those
-of the last start before it that aren't closed yet. The walk is a range-partitioned sort; the stack
-that is open where a partition begins is carried over from the partitions before it.
+disjoint. The sweep walks the sorted union of keys, interval starts and interval ends: a start pushes
+its rule, an end pops one, and the running sum of both is the height of the stack. The rule at height
+h of the stack is the last one pushed at that height, so the stack is one running value for each
+height, and at a key those up to its own height are active. The walk is a range-partitioned sort;
+height and stack at the beginning of a partition are carried over from the partitions before it.
 """
 
 from __future__ import annotations
@@ -39,23 +41,29 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
 def enclosing(points: DataFrame, starts: DataFrame) -> DataFrame:
     """(key, stack): for each distinct ``points.key`` the ``starts.key`` that are prefixes of it, shortest first; none: no row.
 
-    A start's own stack, itself included, has at most as many entries as it has letters.
+    The sweep has a running value for each height up to that of the highest stack, which follows how
+    deeply rules nest and not how many there are.
     """
     starts = durable(starts.select("key").distinct())
-    inner = starts.select("key", F.explode(F.sequence(F.lit(1), F.length("key"))).alias("n")).select("key", F.col("key").substr(F.lit(1), F.col("n")).alias("prefix"))
-    stacks = inner.join(starts.withColumnRenamed("key", "prefix"), "prefix", "left_semi").groupBy("key").agg(F.array_sort(F.collect_list("prefix")).alias("stack"))
-    events = points.select("key").distinct().select("key", F.lit(1).alias("kind"), F.lit(None).cast("array<string>").alias("stack")).unionAll(stacks.select("key", F.lit(0), "stack"))
-    swept = durable(events.repartitionByRange("key", "kind").withColumn("part", F.spark_partition_id()))
-    ends = swept.where("kind = 0").groupBy("part").agg(F.max_by("stack", "key").alias("open"))  # a row for each partition
-    spans = swept.groupBy("part").agg(F.min("key").alias("low"))
-    carry = spans.join(ends, "part", "left").select("part", F.last("open", ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    order = Window.partitionBy("part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    last = swept.withColumn("last", F.last("stack", ignorenulls=True).over(order)).where("kind = 1")
-    return (
-        last.join(F.broadcast(carry), "part")
-        .select("key", F.filter(F.coalesce("last", "carried"), lambda r: F.startswith(F.col("key"), r)).alias("stack"))
-        .where(F.size("stack") > 0)
-    )
+    at = F.col("key").cast("binary")
+    push, point, pop = F.lit(0), F.lit(1), F.lit(2)
+    events = points.select("key").distinct().select("key", at.alias("at"), point.alias("kind")).unionAll(starts.select("key", at.alias("at"), push.alias("kind")))
+    events = events.unionAll(starts.select("key", F.concat(at, F.lit(b"\xff")).alias("at"), pop.alias("kind")))  # no UTF-8 text has this byte, so it sorts behind all that begins with the key
+    swept = durable(events.repartitionByRange("at", "kind").withColumn("part", F.spark_partition_id()))
+    step = F.when(F.col("kind") == push, 1).when(F.col("kind") == pop, -1).otherwise(0)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each partition
+    opened = swept.groupBy("part").agg(F.sum(step).alias("net")).select("part", F.coalesce(F.sum("net").over(before), F.lit(0)).alias("opened"))
+    walk = Window.partitionBy("part").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    swept = durable(swept.join(F.broadcast(opened), "part").withColumn("height", F.col("opened") + F.sum(step).over(walk)))
+    highest = swept.agg(F.max("height")).first()[0] or 0
+    if not highest:
+        return points.select("key", F.array("key").alias("stack")).limit(0)
+    heights = range(1, highest + 1)
+    pushed = lambda h: F.when((F.col("kind") == push) & (F.col("height") == h), F.col("key"))
+    left = swept.groupBy("part").agg(*(F.max(pushed(h)).alias(f"h{h}") for h in heights))  # starts are pushed in the order of their keys
+    carry = left.select("part", *(F.last(f"h{h}", ignorenulls=True).over(before).alias(f"h{h}") for h in heights))
+    top = swept.join(F.broadcast(carry), "part").select("key", "kind", "height", *(F.coalesce(F.last(pushed(h), ignorenulls=True).over(walk), F.col(f"h{h}")).alias(f"s{h}") for h in heights))
+    return top.where((F.col("kind") == point) & (F.col("height") > 0)).select("key", F.slice(F.array(*(f"s{h}" for h in heights)), 1, F.col("height").cast("int")).alias("stack"))
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:

@@ -25,6 +25,15 @@ def test_chat_odd_rows(spark):
     assert chat_format.format_preferences(turns(spark, [])).count() == 0
 
 
+def test_turns_without_a_number_come_last(spark):
+    data = [(1, s, t, "user", x) for s in ("chosen", "rejected") for t, x in ((0, "hi"), (1, "there"))] + [(1, "chosen", None, "assistant", "late")]
+    r = chat_format.format_preferences(turns(spark, data)).first()
+    assert (r.n_prefix, r.chosen, r.rejected) == (2, "<|assistant|>\nlate<|end|>\n", "")
+    conv = spark.createDataFrame([(1, None, "assistant", "late"), (1, 0, "user", "q"), (1, 1, "assistant", "a")], "conv_id long, turn long, role string, text string")
+    r = chat_format.format_preferences(chat_format.stale_reply_pairs(conv)).first()
+    assert (r.n_prefix, r.chosen, r.rejected) == (2, "<|assistant|>\nlate<|end|>\n", "<|assistant|>\na<|end|>\n")
+
+
 def test_stale_reply_pairs(spark):
     conv = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "old"), (1, 2, "user", "q2"), (1, 3, "assistant", "new"), (1, 4, "user", "bye"), (2, 0, "user", "q"), (2, 1, "assistant", "only"), (3, 0, "user", "alone"), (None, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     got = {r.pair_id: r for r in chat_format.format_preferences(chat_format.stale_reply_pairs(conv)).collect()}
@@ -65,6 +74,13 @@ def test_rules_over_many_partitions(spark):
     assert got == sorted(((i, *judged(u, rules)) for i, u in enumerate(urls)), key=str)
 
 
+def test_deep_nesting_like_brute_force(spark):
+    rules = [("block" if j % 2 else "allow", f"{'.'.join(['d', 'c', 'b', 'a'][4 - d :])}/{'x/' * j}") for d in range(1, 5) for j in range(6)]
+    urls = [f"http://{h}/{p}" for h in ("a", "b.a", "c.b.a", "d.c.b.a", "e.d.c.b.a", "bb.a", "z.a", "ba") for p in ("", "x", "x/", "x/x/", "x/x/y", "x/x/x/x/x/x/x/", "x/􏿿", "y")]
+    got = rows(url_rules.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), url_rules.rule_table(spark, rules)), "page_id", "host", "path", "rule", "verdict")
+    assert got == sorted(((i, *judged(u, rules)) for i, u in enumerate(urls)), key=str)
+
+
 def test_url_empty_tables(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     assert url_rules.judge(none, url_rules.rule_table(spark, url_rules.RULES)).count() == 0
