@@ -143,6 +143,48 @@ def test_toxicity_degenerate_labels(spark):
         assert {round(r.score, 3) for r in toxicity.score(docs(spark, data), model).collect()} == {most}
 
 
+def plain_difference(grams, order, word):
+    """Interpolated Kneser-Ney of both classes by the textbook, letter by letter."""
+    d = toxicity.DISCOUNT
+    pooled = {order: set(grams[0]) | set(grams[1])}
+    for m in range(order - 1, 0, -1):
+        pooled[m] = {g[1:] for g in pooled[m + 1]}
+    before = lambda m, g: sum(x[1:] == g for x in pooled[m + 1])
+
+    def shared(g):
+        m = len(g)
+        if not m:
+            return 1 / (len(pooled[1]) + 1)
+        same = [x for x in pooled[m] if x[:-1] == g[:-1]]
+        total = sum(before(m, x) for x in same)
+        return (max(before(m, g) - d, 0) + d * len(same) * shared(g[1:])) / total if total else shared(g[1:])
+
+    def own(y, g):
+        same = {x: n for x, n in grams[y].items() if x[:-1] == g[:-1]}
+        total = sum(same.values())
+        return (max(grams[y].get(g, 0) - d, 0) + d * len(same) * shared(g[1:])) / total if total else shared(g[1:])
+
+    s = "<" * (order - 1) + word + ">"
+    return sum(math.log(own(1, s[a : a + order]) / own(0, s[a : a + order])) for a in range(len(s) - order + 1))
+
+
+def test_toxicity_by_brute_force():
+    order, grams = 4, [{}, {}]
+    for y, words in ((0, "bana kolo tisu bana mera nilo".split()), (1, "vrek vreka jolter vrek".split())):
+        for w in words:
+            s = "<" * (order - 1) + w + ">"
+            for a in range(len(s) - order + 1):
+                grams[y][s[a : a + order]] = grams[y].get(s[a : a + order], 0) + 1
+    own = toxicity.Scorer(*toxicity.difference_tables(grams, order), order)
+    for w in ("vrek", "vreko", "bana", "banavrek", "xyz", "jolt", "é"):
+        assert abs(own.word(w) - plain_difference(grams, order, w)) < 1e-9
+    words = "bana Vreko, bana".lower().replace(",", "").split()
+    each = [plain_difference(grams, order, w) for w in words]
+    whole, worst = own.text("bana Vreko, bana")
+    assert abs(whole - sum(each) / sum(len(w) + order for w in words)) < 1e-9
+    assert abs(worst - max(0, *(x / (len(w) + order) for x, w in zip(each, words, strict=True)))) < 1e-9 and own.text(None) == (0.0, 0.0)
+
+
 def test_shared_backoff_costs_both_classes_the_same():
     ratio, other = toxicity.difference_tables([{"<<ab": 4, "<abc": 4}, {"<<ab": 2, "<abd": 2}], 4)
     assert ratio["<abd"] > 0 > ratio["<abc"] and "zzz" not in other
