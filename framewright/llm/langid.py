@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -23,16 +22,24 @@ from pyspark.sql import functions as F
 
 from framewright.llm.common import crc_mod, table
 
-#: Word characters that are neither letters, decimal digits nor the underscore, such as the superscript two.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 #: A word is a run of letters, marks kept out; digits, other numerals and underscores end it.
-WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
 UND = "und"
 #: Unseen words whose scores a worker remembers.
 KEPT = 100_000
 
 
+def words_of(text: str | None) -> Counter:
+    """The distinct lower-cased words of a text with their numbers."""
+    found = Counter(WORD.findall((text or "").lower()))
+    for w in [w for w in found if not w.isalpha()]:  # holds a numeral that is no decimal digit, such as the superscript two
+        n = found.pop(w)
+        for part in "".join(c if c.isalpha() else " " for c in w).split():
+            found[part] += n
+    return found
+
+
 def _grams(word: str) -> Iterator[str]:
     """Character n-grams, the longest order first; all but single letters see the word's ends."""
     marked = f"<{word}>"
@@ -111,7 +118,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and its share of the scores; mean log frequencies weigh as much as the root of the number of words."""
-        words = Counter(WORD.findall((text or "").lower()))
+        words = words_of(text)
         if not words or not self.langs:
             return UND, 0.0
         if self.table is None:
@@ -155,7 +162,7 @@ def train(docs: DataFrame, per_lang: int = 1000) -> Model:
         found: dict[str, Counter] = {}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-                found.setdefault(lang, Counter()).update(WORD.findall(text.as_py().lower()))
+                found.setdefault(lang, Counter()).update(words_of(text.as_py()))
         for lang, words in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words)), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["lang", "word", "n"])
 
