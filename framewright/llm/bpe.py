@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from framewright.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Pre-tokens whose ids a worker remembers; the table is emptied when full, so its memory is bounded.
-MEMO = 200_000
+#: Pre-tokens whose ids a worker remembers: half of them from now, half from before, so its memory is bounded.
+MEMO = 240_000
 
 
 def _h(token: bytes, seed: int) -> int:
@@ -88,28 +88,30 @@ class Encoder:
         return self.ids[i] if self.tokens[i] == word else None
 
     def merge(self, word: bytes) -> list[int]:
-        """Heap over linked bytes."""
-        n, ranks = len(word), self.ranks
-        nxt, prv, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+        """Heap over linked bytes: a part links to where it ends, which is where the next begins, and to the part before; 0 marks a part that is gone."""
+        n, ranks, rank = len(word), self.ranks, self.ranks.get
+        width = n.bit_length()
+        high, mask = 2 * width, (1 << width) - 1
+        heap = [r << high | i << width | i + 2 for i in range(n - 1) if (r := rank(word[i : i + 2])) is not None]
         heapq.heapify(heap)
-        alive = [True] * n
+        end, before, push, pop = list(range(1, n + 1)), list(range(-1, n - 1)), heapq.heappush, heapq.heappop
         while heap:
-            _, i, stop = heapq.heappop(heap)
-            if not alive[i] or (j := nxt[i]) >= n or end[j] != stop:
+            key = pop(heap)
+            stop, i = key & mask, key >> width & mask
+            j = end[i]
+            if not j or j >= n or end[j] != stop:
                 continue  # one of the two parts has been merged with another since
-            alive[j] = False
-            end[i], nxt[i] = stop, nxt[j]
-            if nxt[i] < n:
-                prv[nxt[i]] = i
-                if (r := ranks.get(word[i : end[nxt[i]]])) is not None:
-                    heapq.heappush(heap, (r, i, end[nxt[i]]))
-            if (p := prv[i]) >= 0 and (r := ranks.get(word[p:stop])) is not None:
-                heapq.heappush(heap, (r, p, stop))
+            end[j], end[i] = 0, stop
+            if stop < n:
+                before[stop] = i
+                last = end[stop]
+                if (r := rank(word[i:last])) is not None:
+                    push(heap, r << high | i << width | last)
+            if (p := before[i]) >= 0 and (r := rank(word[p:stop])) is not None:
+                push(heap, r << high | p << width | stop)
         out, i = [], 0
         while i < n:
-            out.append(ranks[word[i : end[i]]])
-            i = nxt[i]
+            out.append(ranks[word[i : (i := end[i])]])
         return out
 
     def encode_word(self, word: str) -> list[int]:
@@ -125,17 +127,23 @@ class Encoder:
 
 
 class Memory(dict):
-    """Pre-token -> (its ids in decimal, its ids); worked out when first asked for, emptied when full."""
+    """Pre-token -> (its ids in decimal, its ids); worked out when first asked for.
+
+    When half of ``MEMO`` is reached the table becomes the one from before and a new one begins; what
+    is asked for again comes over from there, so that frequent words stay.
+    """
 
     def __init__(self, encoder: Encoder):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.before = encoder, {}
 
     def __missing__(self, word: str) -> tuple[str, tuple[int, ...]]:
-        ids = tuple(self.encoder.encode_word(word))
-        got = " ".join(map(str, ids)), ids
+        if (got := self.before.get(word)) is None:
+            ids = tuple(self.encoder.encode_word(word))
+            got = " ".join(map(str, ids)), ids
         if len(word) <= 64:
-            if len(self) >= MEMO:
+            if len(self) >= MEMO // 2:
+                self.before = dict(self)
                 self.clear()
             self[word] = got
         return got
