@@ -21,11 +21,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import table
+from framewright.llm.common import arrow, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pre-tokens whose ids a worker remembers: half of them from now, half from before, so its memory is bounded.
-MEMO = 240_000
+MEMO = 200_000
 
 
 def _h(token: bytes, seed: int) -> int:
@@ -199,7 +199,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, pattern: str | None
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A side of a join is broadcast below this many bytes only; its size is measured first.
 BROADCAST_BYTES = 32 << 20
+#: Rows of a batch between the JVM and Python.
+ARROW_ROWS = 1000
 #: Up to so many distinct edges (16 bytes each) one task joins them to components; beyond, all tasks do, in rounds.
 FEW_EDGES = 1 << 20
 
@@ -36,6 +39,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` in batches of ``ARROW_ROWS`` rows, which bounds what a worker and its JVM hold of long texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def with_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Mark a counted side for broadcast if its measured size is under the bound; else leave the join to shuffle."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
@@ -74,7 +83,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     lo, hi = F.least(a, b), F.greatest(a, b)
     cur = durable(edges.select(hi.alias("u"), lo.alias("v")).where("u <> v").distinct())
     if cur.count() <= FEW_EDGES:
-        return cur.coalesce(1).mapInArrow(_joined, "id long, component long")
+        return arrow(cur.coalesce(1), _joined, "id long, component long")
     seen = None
     while True:
         mark = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

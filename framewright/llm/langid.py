@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import crc_mod, table
+from framewright.llm.common import arrow, crc_mod, table
 
 #: A word is a run of letters, marks kept out; digits, other numerals and underscores end it.
 WORD = re.compile(r"[^\W\d_]+")
@@ -166,7 +166,7 @@ def train(docs: DataFrame, per_lang: int = 1000) -> Model:
         for lang, words in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words)), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["lang", "word", "n"])
 
-    rows = sample(docs, per_lang).select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    rows = arrow(sample(docs, per_lang).select("lang", "text"), run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     return Model.fit(map(tuple, rows.orderBy("lang", "word").toLocalIterator()))
 
 
@@ -185,7 +185,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             got = [own.predict(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, lang_pred string, score double")
 
 
 def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
@@ -199,7 +199,7 @@ def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
             got = [own.predict(t.as_py()) for t in batch.column(at)]
             yield batch.filter(pa.array([lang != UND and s >= least for lang, s in got], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow(docs, run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm import wordhash as W
-from framewright.llm.common import connected_components, durable, table, with_small
+from framewright.llm.common import arrow, connected_components, durable, table, with_small
 
 COORDINATES = 64
 #: Members of a node that a task compares at once; larger nodes are cut into blocks of this size.
@@ -107,7 +107,7 @@ def profiles(docs: DataFrame, k: int, first: int = 0, groups: int = 1) -> DataFr
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), pa.array(sig, pa.list_(pa.int32())), pa.array(sk, pa.binary())], ["doc_id", "n_shingles", "cid", "sig", "sk"]
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, cid binary, sig array<int>, sk binary")
+    return arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, cid binary, sig array<int>, sk binary")
 
 
 def _weight(n: str = "n") -> Column:
@@ -214,7 +214,7 @@ def _in_reach(rows: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks().filter(pa.array(flag)) for c in ("cell", "cid", "name", "side")], ["cell", "cid", "name", "side"])
 
     dealt = rows.select("cell", "cid", "name", "n", "sk", "side").repartition("cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(run, "cell long, cid binary, name long, side int")
+    return arrow(dealt, run, "cell long, cid binary, name long, side int")
 
 
 def _blobs(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
@@ -231,7 +231,7 @@ def _blobs(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
                     blob.append((u >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cid, pa.binary()), pa.array(blob, pa.binary())], ["cid", "blob"])
 
-    return chosen.mapInArrow(sets, "cid binary, blob binary").dropDuplicates(["cid"])
+    return arrow(chosen, sets, "cid binary, blob binary").dropDuplicates(["cid"])
 
 
 def _grown(blobs: list[bytes], name: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -273,7 +273,7 @@ def _links(docs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
     dealt = reach.join(_blobs(docs, doc, k), "cid").select("cell", "name", "side", "blob").repartition("cell").sortWithinPartitions("cell")
-    return durable(dealt.mapInArrow(run, "a long, b long").distinct())
+    return durable(arrow(dealt, run, "a long, b long").distinct())
 
 
 def _blocks(wide: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewright.llm.common import connected_components, durable, table, with_small
+from framewright.llm.common import arrow, connected_components, durable, table, with_small
 
 BLOCK = 1024
 #: Signs in a sketch.
@@ -188,7 +188,7 @@ def _of_length(whole: DataFrame, dims: int, least: float, k: int, reach: int, mo
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sketch[:, 0]), pa.array(sketch[:, 1]), pa.array(list(own), pa.list_(pa.int64()))], [*part.schema.names, "s1", "s2", "lists"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in whole.select("cid", "cid2", "rep", "m", "v").schema)
-    described = durable(whole.select("cid", "cid2", "rep", "m", "v").mapInArrow(describe, f"{fields}, s1 long, s2 long, lists array<long>"))
+    described = durable(arrow(whole.select("cid", "cid2", "rep", "m", "v"), describe, f"{fields}, s1 long, s2 long, lists array<long>"))
     listed = described.select("cid", "s1", "s2", F.explode("lists").alias("key"))
     sizes = durable(listed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
     entry = listed.join(with_small(sizes, sizes.count(), 24), "key")
@@ -212,7 +212,7 @@ def _of_length(whole: DataFrame, dims: int, least: float, k: int, reach: int, mo
                 keep = pa.array(flag)
                 yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks().filter(keep) for c in ("cell", "side", "key", "cid")], ["cell", "side", "key", "cid"])
 
-    in_reach = durable(dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(sketched, "cell long, side int, key long, cid long"))
+    in_reach = durable(arrow(dealt.repartition("cell").sortWithinPartitions("cell"), sketched, "cell long, side int, key long, cid long"))
 
     def run_of(t: pa.Table) -> list[pa.RecordBatch]:
         n = t.num_rows
@@ -243,7 +243,7 @@ def _of_length(whole: DataFrame, dims: int, least: float, k: int, reach: int, mo
                 yield from run_of(t.slice(a, b - a))
 
     sent = in_reach.join(described.select("cid", "cid2", "rep", "m", "v", "lists"), "cid").repartition("cell").sortWithinPartitions("cell", "side")
-    return durable(sent.select("cell", "side", "key", "cid", "cid2", "rep", "m", "v", "lists").mapInArrow(verified, "cid long, cid2 long, rep long, n long, other long"))
+    return durable(arrow(sent.select("cell", "side", "key", "cid", "cid2", "rep", "m", "v", "lists"), verified, "cid long, cid2 long, rep long, n long, other long"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import crc_mod, table
+from framewright.llm.common import arrow, crc_mod, table
 
 WORD = re.compile(r"[^\W\d_]+")
 DISCOUNT = 0.75
@@ -171,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 200_000, order: int =
 
     def tables(part: DataFrame) -> Scorer:
         grams: list[dict[str, int]] = [{}, {}]
-        for y, g, c in part.select("text", "toxic").mapInArrow(count, "toxic int, gram string, n long").groupBy("toxic", "gram").agg(F.sum("n").alias("n")).toLocalIterator():
+        for y, g, c in arrow(part.select("text", "toxic"), count, "toxic int, gram string, n long").groupBy("toxic", "gram").agg(F.sum("n").alias("n")).toLocalIterator():
             grams[y][g] = c
         return Scorer(*difference_tables(grams, order), order)
 
@@ -197,7 +197,7 @@ def evidence(docs: DataFrame, scorer: Scorer, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array([g[i] for g in got], pa.float64()) for i in (0, 1))], [*keep, "whole", "worst"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema if f.name != "text")
-    return kept.mapInArrow(run, f"{fields}, whole double, worst double")
+    return arrow(kept, run, f"{fields}, whole double, worst double")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
