@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.operators import kernels
@@ -21,17 +25,49 @@ bw AS (SELECT cur, prev, avg(d) AS d FROM (SELECT cur, prev, qj, min(d) AS d FRO
 cost AS (SELECT cur, prev, round((fw.d + bw.d) / 2, 6) AS cost FROM fw JOIN bw USING (cur, prev))"""
 
 
-def costs(spark, sf_dir):
+def costs(spark, sf_dir, limit: float | None = None):
     """(frame, cur, prev, cost): mean distance to the nearest point, both ways, between strokes of a kind in successive frames."""
     s = strokes(spark, sf_dir)
     prev = s.select((F.col("frame") + 1).alias("frame"), "type", F.col("stroke").alias("prev"), F.col("p").alias("q"))
 
-    def mean(a: str, b: str):
-        far = lambda u, v: (u["x"] - v["x"]) * (u["x"] - v["x"]) + (u["y"] - v["y"]) * (u["y"] - v["y"])
-        return F.aggregate(F.transform(a, lambda u: F.sqrt(F.array_min(F.transform(b, lambda v: far(u, v))))), F.lit(0.0), lambda t, d: t + d) / F.size(a)
+    return chamfer(s.withColumnRenamed("stroke", "cur").join(prev, ["frame", "type"]), limit).select("frame", "cur", "prev", F.round("cost", 6).alias("cost"))
+
+
+def _xy(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates of all points of a column of strokes, and where each stroke begins."""
+    flat = col.flatten()
+    return np.stack([flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y")], 1), np.concatenate([[0], np.cumsum(pc.list_value_length(col).to_numpy(zero_copy_only=False))])
+
+
+def chamfer(pairs: DataFrame, limit: float | None = None) -> DataFrame:
+    """``pairs`` (p, q, any others) with the cost instead of the points: the mean distance of a stroke's points to the other's nearest, both ways averaged.
+
+    With a limit, pairs whose boxes are as far apart go before their distances are computed: every
+    point is at least as far away. Strokes may differ in their numbers of points; none is empty.
+    """
+    if limit is not None:
+        edge = lambda s, c, f: f(F.transform(s, lambda v: v[c]))
+        gap = lambda c: F.greatest(edge("p", c, F.array_min) - edge("q", c, F.array_max), edge("q", c, F.array_min) - edge("p", c, F.array_max), F.lit(0.0))
+        pairs = pairs.where(F.sqrt(gap("x") * gap("x") + gap("y") * gap("y")) < limit)
+    kept = [f for f in pairs.schema if f.name not in ("p", "q")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                (p, i), (q, j) = _xy(part.column("p")), _xy(part.column("q"))
+                if len(p) == part.num_rows * i[1] and len(q) == part.num_rows * j[1] and (np.diff(i) == i[1]).all() and (np.diff(j) == j[1]).all():
+                    u, v = p.reshape(part.num_rows, i[1], 1, 2), q.reshape(part.num_rows, 1, j[1], 2)
+                    d = np.sqrt(((u - v) ** 2).sum(axis=3))
+                    cost = (d.min(axis=2).mean(axis=1) + d.min(axis=1).mean(axis=1)) / 2
+                else:
+                    cost = np.empty(part.num_rows)
+                    for r in range(part.num_rows):
+                        d = np.sqrt(((p[i[r] : i[r + 1], None] - q[None, j[r] : j[r + 1]]) ** 2).sum(axis=2))
+                        cost[r] = (d.min(axis=1).mean() + d.min(axis=0).mean()) / 2
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(cost)], [*(f.name for f in kept), "cost"])
 
-    both = s.withColumnRenamed("stroke", "cur").join(prev, ["frame", "type"])
-    return both.select("frame", "cur", "prev", F.round((mean("p", "q") + mean("q", "p")) / 2, 6).alias("cost"))
+    return pairs.select(*(f.name for f in kept), "p", "q").mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", cost double")
 
 
 @query("chamfer_cost", with_views(_COST.strip() + "\nSELECT cur, prev, cost FROM cost", "poly"))
@@ -48,7 +84,7 @@ def match_quality(spark, sf_dir):
 
 @query("nearest_match", with_views(_COST.strip() + "\nSELECT cur, arg_min(prev, (cost, prev)) AS prev FROM cost WHERE cost < 18 GROUP BY 1", "poly"))
 def nearest_match(spark, sf_dir):
-    return costs(spark, sf_dir).where("cost < 18").groupBy("cur").agg(F.min(F.struct("cost", "prev")).alias("b")).select("cur", "b.prev")
+    return costs(spark, sf_dir, 18.0).where("cost < 18").groupBy("cur").agg(F.min(F.struct("cost", "prev")).alias("b")).select("cur", "b.prev")
 
 
 @query("assign_tracks")
@@ -62,7 +98,7 @@ def assign_tracks(spark, sf_dir):
         rows = [(int(pdf.frame.iloc[0]), int(cur[i]), int(prev[j]), float(c[i, j])) for i, j in kernels.assign(c, 18.0)]
         return pd.DataFrame(rows, columns=["frame", "cur", "prev", "cost"])
 
-    return costs(spark, sf_dir).groupBy("frame").applyInPandas(run, "frame int, cur long, prev long, cost double")
+    return costs(spark, sf_dir, 18.0).groupBy("frame").applyInPandas(run, "frame int, cur long, prev long, cost double")
 
 
 @query("nearest_point", with_views("SELECT stroke, arg_min(j, ((x - 3) * (x - 3) + (y + 2) * (y + 2), y, x, j)) AS j FROM poly GROUP BY 1", "poly"))
@@ -98,7 +134,7 @@ def main_silhouette(spark, sf_dir):
 
 
 @query("jobs_by_shot", with_views("""
-p AS (SELECT clip, i, 1 + (v::BIGINT % 3) AS target, (k <> 'error')::INT AS label FROM seq WHERE i % 4 = 0), s AS (SELECT clip, i // 20 AS shot, min(i) AS lo, max(i) AS hi FROM seq GROUP BY 1, 2)
+p AS (SELECT clip, i, 1 + (v::BIGINT % 3) AS target, (k <> 'error')::INT AS label FROM seq), s AS (SELECT clip, i // 20 AS shot, min(i) AS lo, max(i) AS hi FROM seq GROUP BY 1, 2)
 SELECT s.clip, s.shot, target, s.lo, s.hi, string_agg(p.i || ':' || label, ' ' ORDER BY p.i) AS prompts FROM p JOIN s ON s.clip = p.clip AND p.i BETWEEN s.lo AND s.hi GROUP BY ALL""".replace("v::BIGINT", "floor(v)::BIGINT"), "seq"))
 def jobs_by_shot(spark, sf_dir):
     """Prompts by the shot they lie in and their target, in order of frame."""

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.registry import query
@@ -39,18 +43,41 @@ def retention_threshold(spark, sf_dir):
     return c.where(F.col("cum") >= 0.9 * F.col("total")).groupBy("source").agg(F.max("s").alias("tau"))
 
 
-def bootstrap(rows: DataFrame, reps: int) -> DataFrame:
-    """Rows repeated as a keyed hash says, for each of ``reps`` resamplings: Poisson counts that don't depend on partitioning."""
-    u = F.pmod(F.xxhash64("doc_id", "rep"), F.lit(1_000_000)) / 1e6
-    n = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).otherwise(4)
-    return rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("times", n).where("times > 0")
+def bootstrap_sums(rows: DataFrame, stratum: str, track: str, num: Column, den: Column, reps: int = 2000, seed: int = 0) -> DataFrame:
+    """(stratum, rep, num, den): sums over ``reps`` resamplings of whole tracks within each stratum.
+
+    A track is drawn a Poisson(1) number of times, from a generator keyed by seed, stratum and track,
+    so that the result doesn't depend on the partitioning. Rows are summed by track first; each task
+    adds its tracks up in one matrix and reports a row for each stratum and resampling.
+    """
+    tracks = rows.groupBy(F.col(stratum).cast("string").alias("stratum"), F.xxhash64(F.lit(seed), stratum, track).alias("key"), F.col(track).alias("track")).agg(F.sum(num).cast("double").alias("num"), F.sum(den).cast("double").alias("den"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for name, key, x, y in zip(*(batch.column(c).to_pylist() for c in ("stratum", "key", "num", "den")), strict=True):
+                times = draws(key, reps)
+                own = sums.setdefault(name, np.zeros((2, reps)))
+                own[0] += times * (x or 0.0)
+                own[1] += times * (y or 0.0)
+        for name, own in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * reps, pa.string()), pa.array(np.arange(reps, dtype=np.int32)), pa.array(own[0]), pa.array(own[1])], ["stratum", "rep", "num", "den"])
+
+    return tracks.select("stratum", "key", "num", "den").mapInArrow(run, "stratum string, rep int, num double, den double").groupBy("stratum", "rep").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
+
+
+def draws(key: int, reps: int) -> np.ndarray:
+    """How often the track of this key is drawn in each resampling."""
+    return np.random.Generator(np.random.Philox(key=key % (1 << 64))).poisson(1.0, reps)
 
 
 @query("bootstrap_interval")
 def bootstrap_interval(spark, sf_dir):
-    """Interval of the weighted share of positives by source, from 200 resamplings."""
-    b = bootstrap(scores(spark, sf_dir), 200).groupBy("source", "rep").agg((F.sum(F.col("times") * F.col("w") * F.col("y")) / F.sum(F.col("times") * F.col("w"))).alias("share"))
-    return b.groupBy("source").agg(F.round(F.percentile("share", 0.025), 6).alias("lo"), F.round(F.percentile("share", 0.975), 6).alias("hi"))
+    """Interval of the weighted share of positives by source: 2,000 resamplings of tracks of four documents."""
+    w = F.col("w")
+    sums = bootstrap_sums(scores(spark, sf_dir).withColumn("track", F.floor(F.col("doc_id") / 4)), "source", "track", w * F.col("y"), w)
+    share = sums.where("den > 0").withColumn("share", F.col("num") / F.col("den"))
+    return share.groupBy(F.col("stratum").alias("source")).agg(F.round(F.percentile("share", 0.025), 6).alias("lo"), F.round(F.percentile("share", 0.975), 6).alias("hi"))
 
 
 @query("removed_share", _SCORES + "SELECT source, round(sum(w) FILTER (WHERE s < 1000) / sum(w), 6) AS removed, round(sum(w) FILTER (WHERE s >= 1000 AND y = 1) / sum(w) FILTER (WHERE y = 1), 6) AS kept FROM scores GROUP BY 1")
@@ -65,7 +92,7 @@ _SEG = "seg AS (SELECT a.stroke, a.frame, a.j, a.x AS ax, a.y AS ay, b.x AS bx,
 
 @query("segment_crossings", with_views(_SEG + """,
 o AS (SELECT s.stroke, s.j AS j1, t.j AS j2, (s.bx - s.ax) * (t.ay - s.ay) - (s.qy - s.ay) * (t.ax - s.ax) AS o1, (s.bx - s.ax) * (t.qy - s.ay) - (s.qy - s.ay) * (t.bx - s.ax) AS o2,
-  (t.bx - t.ax) * (s.ay - t.ay) - (t.qy - t.ay) * (s.ax - t.ax) AS o3, (t.bx - t.ax) * (s.qy - t.ay) - (t.qy - t.ay) * (s.bx - t.ax) AS o4 FROM seg s JOIN seg t ON t.stroke = s.stroke AND t.j > s.j + 1 WHERE s.j < 8 AND t.j < 8)
+  (t.bx - t.ax) * (s.ay - t.ay) - (t.qy - t.ay) * (s.ax - t.ax) AS o3, (t.bx - t.ax) * (s.qy - t.ay) - (t.qy - t.ay) * (s.bx - t.ax) AS o4 FROM seg s JOIN seg t ON t.stroke = s.stroke AND t.j > s.j + 1)
 SELECT stroke, count(*) FILTER (WHERE sign(o1) * sign(o2) < 0 AND sign(o3) * sign(o4) < 0) AS crossings FROM o GROUP BY 1""", "poly"))
 def segment_crossings(spark, sf_dir):
     """How often the pieces of a stroke cross each other, neighbours aside. All pairs, inside the stroke's row."""
@@ -112,14 +139,29 @@ def end_gaps(spark, sf_dir):
     return strokes(spark, sf_dir).select("stroke", F.round(F.sqrt((a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"])), 6).alias("gap"))
 
 
-@query("window_identity", with_views("w AS (SELECT clip, i, sha256(k || round(v)::BIGINT) AS sha FROM seq WHERE i BETWEEN 5 AND 14)\nSELECT w.clip, count(*) AS n, bool_and(w.sha = sha256(s.k || round(s.v)::BIGINT)) AS same FROM w JOIN seq s USING (clip, i) GROUP BY 1", "seq"))
+_SMOOTH = "sha256(k || (sum(round(v)::BIGINT) OVER (PARTITION BY clip ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))::BIGINT) AS sha"
+
+
+def smoothed(frames: DataFrame, reach: int) -> DataFrame:
+    """(clip, i, sha): a fingerprint of each frame's output, which depends on the frames up to ``reach`` away."""
+    near = Window.partitionBy("clip").orderBy("i").rowsBetween(-reach, reach)
+    return frames.select("clip", "i", F.sha2(F.concat("k", F.sum(F.round("v").cast("long")).over(near).cast("string")).cast("binary"), 256).alias("sha"))
+
+
+def same_in_window(frames: DataFrame, first: int, last: int, margin: int, reach: int = 2) -> DataFrame:
+    """(clip, n, same): does a run over the frames ``first`` to ``last`` and a margin around them give there what the whole run gives?"""
+    part = smoothed(frames.where(F.col("i").between(first - margin, last + margin)), reach).where(F.col("i").between(first, last)).withColumnRenamed("sha", "part")
+    return part.join(smoothed(frames, reach), ["clip", "i"]).groupBy("clip").agg(F.count("*").alias("n"), F.bool_and(F.col("part") == F.col("sha")).alias("same"))
+
+
+@query("window_identity", with_views(f"""
+w AS (SELECT clip, i, {_SMOOTH} FROM seq WHERE i BETWEEN 3 AND 16), a AS (SELECT clip, i, {_SMOOTH} FROM seq)
+SELECT w.clip, count(*) AS n, bool_and(w.sha = a.sha) AS same FROM w JOIN a USING (clip, i) WHERE i BETWEEN 5 AND 14 GROUP BY 1""", "seq"))
 def window_identity(spark, sf_dir):
-    """A window of frames is byte for byte what the whole run gives."""
+    """Frames 5 to 14, run alone with two frames of margin, are byte for byte what the whole run gives."""
     from framewright.sources.views import seq
 
-    s = seq(spark, sf_dir).withColumn("sha", F.sha2(F.concat("k", F.round("v").cast("long").cast("string")).cast("binary"), 256))
-    w = s.where("i between 5 and 14").select("clip", "i", F.col("sha").alias("win"))
-    return w.join(s, ["clip", "i"]).groupBy("clip").agg(F.count("*").alias("n"), F.bool_and(F.col("win") == F.col("sha")).alias("same"))
+    return same_in_window(seq(spark, sf_dir), 5, 14, 2)
 
 
 @query("coverage_gaps", with_views("""
