@@ -18,6 +18,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +26,10 @@ from framewright.llm.common import arrow, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pre-tokens whose ids a worker remembers: half of them from now, half from before, so its memory is bounded.
-MEMO = 200_000
+MEMO = 400_000
 
 
-def _h(token: bytes, seed: int) -> int:
-    return int.from_bytes(hashlib.blake2b(token, digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+_h = xxhash.xxh3_64_intdigest
 
 
 class PerfectHash:
@@ -39,7 +39,7 @@ class PerfectHash:
         n = self.n = len(tokens)
         self.buckets = max(1, n // 3)
         groups: list[list[int]] = [[] for _ in range(self.buckets)]
-        hashes = [_h(t, 0) for t in tokens]
+        hashes = [_h(t) for t in tokens]
         for i, h in enumerate(hashes):
             groups[h % self.buckets].append(i)
         self.shift = np.zeros(self.buckets, np.int64)
@@ -68,7 +68,7 @@ class PerfectHash:
 
     def find(self, token: bytes) -> int:
         """Index of the only token that could be this one."""
-        h = _h(token, 0)
+        h = _h(token)
         d = int(self.shift[h % self.buckets])
         return int(self.slot_of[~d if d < 0 else self._slot(h, d)])
 
@@ -81,6 +81,7 @@ class Encoder:
         self.mph = PerfectHash(self.tokens)
         self.split = regex.compile(pattern)
         self.bytes_of = {i: t for t, i in ranks.items()}
+        self.decimal = {i: str(i) for i in self.ids}
         self.memo = Memory(self)
 
     def whole(self, word: bytes) -> int | None:
@@ -127,7 +128,7 @@ class Encoder:
 
 
 class Memory(dict):
-    """Pre-token -> (its ids in decimal, its ids); worked out when first asked for.
+    """Pre-token -> its ids; worked out when first asked for.
 
     When half of ``MEMO`` is reached the table becomes the one from before and a new one begins; what
     is asked for again comes over from there, so that frequent words stay.
@@ -137,10 +138,9 @@ class Memory(dict):
         super().__init__()
         self.encoder, self.before = encoder, {}
 
-    def __missing__(self, word: str) -> tuple[str, tuple[int, ...]]:
+    def __missing__(self, word: str) -> list[int]:
         if (got := self.before.get(word)) is None:
-            ids = tuple(self.encoder.encode_word(word))
-            got = " ".join(map(str, ids)), ids
+            got = self.encoder.encode_word(word)
         if len(word) <= 64:
             if len(self) >= MEMO // 2:
                 self.before = dict(self)
@@ -182,9 +182,8 @@ def encode_decode(docs: DataFrame, path: str | None = None, pattern: str | None
                 part = batch.slice(start, 512)
                 n, sha, back, all_ids, raw = [], [], [], [], []
                 for t in part.column("text"):
-                    pieces = list(map(enc.memo.__getitem__, enc.split.findall(t.as_py() or "")))
-                    joined = " ".join([p[0] for p in pieces])
-                    own = list(chain.from_iterable([p[1] for p in pieces]))
+                    own = list(chain.from_iterable(map(enc.memo.__getitem__, enc.split.findall(t.as_py() or ""))))
+                    joined = " ".join(map(enc.decimal.__getitem__, own))
                     plain = b"".join(map(table_of.__getitem__, own))
                     n.append(len(own))
                     sha.append(hashlib.sha256(joined.encode()).hexdigest())
