@@ -58,7 +58,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language ID", language), ("line dedup", lines), ("MinHash near-dedup", near_copies), ("benchmark decontamination", benchmarks), ("byte-level BPE", tokens)]
 
-#: Null: token ids by rank merges, and the trained language model, are beyond SQL. tests/llm holds each stage against brute force.
+#: Null: token ids by rank merges, and the trained language model, are beyond SQL. tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
