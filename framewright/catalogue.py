@@ -6,7 +6,7 @@ import importlib
 
 from framewright.registry import ORACLE, QUERIES
 
-MODULES = ("groups", "sequences", "quality", "stencil", "components", "polyline", "matching", "raster", "scalars", "documents", "metrics", "tracks", "sources_queries")
+MODULES = ("groups", "sequences", "quality", "stencil", "components", "polyline", "matching", "raster", "scalars", "documents", "metrics", "tracks", "sources_queries", "vectorize", "stylize", "crop")
 
 for _name in MODULES:
     importlib.import_module(f"framewright.plans.{_name}")
