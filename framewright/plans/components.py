@@ -12,21 +12,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.operators import kernels
-from framewright.plans.stencil import _BOUNDARY, _GRADIENT, _NMS, CELL, boundary_distances, ellipse, meet, ridges, square
+from framewright.plans.stencil import _BOUNDARY, _GRADIENT, _NMS, CELL, boundary_distances, ellipse, ridges, square
 from framewright.registry import query
-from framewright.sources.views import HEIGHT, WIDTH, gmap, with_views
+from framewright.sources.views import HEIGHT, WIDTH, depth, gmap, with_views
 
 
-def components(cells: DataFrame, connectivity: int) -> DataFrame:
-    """Adds ``comp``: for each cell of (frame, y, x, g) the raster index of the first cell of its component of equal g.
+def components(cells: DataFrame, connectivity: int, width: int = WIDTH) -> DataFrame:
+    """Adds ``comp``: for each cell of (frame, y, x, g) the raster index, in rows of ``width``, of the first cell of its component of equal g.
 
-    Cells that are absent from a frame connect nothing. A frame is the unit of work.
+    Cells that are absent from a frame connect nothing. A frame is the unit of work, and as large as
+    its cells reach; cells beyond ``width`` are an error.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = np.full((HEIGHT, WIDTH), -1, np.int64)
+        h, w = int(pdf.y.max()) + 1, int(pdf.x.max()) + 1
+        if w > width:
+            raise ValueError(f"a frame is {w} cells wide, not {width}")
+        grid = np.full((h, w), -1, np.int64)
         grid[pdf.y, pdf.x] = pdf.g
-        return pdf.assign(comp=kernels.label(grid, connectivity)[pdf.y, pdf.x].astype(np.int32))
+        y, x = np.divmod(kernels.label(grid, connectivity)[pdf.y, pdf.x], w)
+        return pdf.assign(comp=(y * width + x).astype(np.int32))
 
     cells = cells.select(*CELL, F.col("g").cast("int").alias("g"))
     return cells.groupBy("frame").applyInPandas(run, "frame int, y int, x int, g int, comp int")
@@ -74,7 +79,7 @@ _WEAK = "weak AS (SELECT frame, y, x, 1 AS g, mag FROM nms WHERE ridge AND mag >
 
 
 def hysteresis_cells(spark, sf_dir) -> DataFrame:
-    weak = ridges(spark, sf_dir).where("ridge and mag > 40")
+    weak = ridges(depth(spark, sf_dir)).where("ridge and mag > 40")
     c = components(weak.withColumn("g", F.lit(1)), 8).join(weak.select(*CELL, "mag"), CELL)
     return c.withColumn("strong", F.max("mag").over(Window.partitionBy("frame", "comp")) > 150).where("strong").select(*CELL)
 
@@ -90,7 +95,7 @@ def hysteresis(spark, sf_dir):
 
 @query("occlusion_masks", with_views(_HYST + "," + _BOUNDARY + "\nSELECT h.frame, h.y, h.x, d.dist >= 1 AND m.g <> 1 AS dist_ok FROM hyst h JOIN dist d USING (frame, y, x) JOIN gmap m USING (frame, y, x)", "depth", "gmap"))
 def occlusion_masks(spark, sf_dir):
-    d = boundary_distances(spark, sf_dir)
+    d = boundary_distances(gmap(spark, sf_dir))
     return hysteresis_cells(spark, sf_dir).join(d, CELL).select(*CELL, ((F.col("dist") >= 1) & (F.col("g") != 1)).alias("dist_ok"))
 
 
@@ -206,7 +211,7 @@ def _frames(cells: DataFrame, kernel, schema: str) -> DataFrame:
     """One kernel call for each frame's mask."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = np.zeros((HEIGHT, WIDTH), bool)
+        grid = np.zeros((int(pdf.y.max()) + 1, int(pdf.x.max()) + 1), bool)
         grid[pdf.y, pdf.x] = True
         return kernel(int(key[0]), grid)
 

@@ -1,12 +1,17 @@
-"""Neighbourhood operators: a cell meets its neighbours by an equi-join on shifted coordinates."""
+"""Neighbourhood operators: a kernel over each frame, whose cells are moved once."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.operators import stencils, trace
 from framewright.registry import query
-from framewright.sources.views import HEIGHT, WIDTH, depth, gmap, with_views
+from framewright.sources.views import depth, gmap, with_views
 
 CELL = ["frame", "y", "x"]
 
@@ -25,42 +30,51 @@ def ellipse(d: int) -> list[tuple[int, int]]:
     return out
 
 
-def meet(cells: DataFrame, offsets: list[tuple], border: str | None, keep: list[str], value: str) -> DataFrame:
-    """Each cell with ``value`` of the cells at the offsets as ``there`` (and a third entry of an offset as ``w``).
+def frame_map(cells: DataFrame, values: list[str], kernel: Callable[..., dict[str, np.ndarray]], out: str) -> DataFrame:
+    """(frame, y, x, out): a kernel over the arrays of each frame, for the cells that the frame has.
 
-    ``border`` says what lies outside: 'replicate' repeats the edge, 'reflect' mirrors without the edge, None nothing.
+    The arrays reach as far as the frame's cells; cells that are absent, and nulls, are 0. ``out`` is
+    the schema of what the kernel returns by name; NaN becomes null. A frame is the unit of work, and
+    its cells are moved once, whatever the size of the neighbourhood.
     """
-    table = F.array(*(F.struct(F.lit(o[0]).alias("dy"), F.lit(o[1]).alias("dx"), F.lit(float(o[2]) if len(o) > 2 else 1.0).alias("w")) for o in offsets))
-    far = cells.select(*CELL, *keep, F.inline(table))
-    y, x = F.col("y") + F.col("dy"), F.col("x") + F.col("dx")
-    if border == "replicate":
-        y, x = F.greatest(F.lit(0), F.least(F.lit(HEIGHT - 1), y)), F.greatest(F.lit(0), F.least(F.lit(WIDTH - 1), x))
-    elif border == "reflect":
-        fold = lambda a, n: F.when(a < 0, -a).when(a > n - 1, 2 * (n - 1) - a).otherwise(a)
-        y, x = fold(y, HEIGHT), fold(x, WIDTH)
-    there = cells.select(F.col("frame"), F.col("y").alias("ty"), F.col("x").alias("tx"), F.col(value).alias("there"))
-    return far.withColumn("ty", y).withColumn("tx", x).join(there, ["frame", "ty", "tx"]).drop("ty", "tx")
+    types = dict(cells.dtypes)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        arrays = []
+        for v in values:
+            a = np.zeros((int(pdf.y.max()) + 1, int(pdf.x.max()) + 1), np.float64 if types[v] in ("double", "float") else np.int64)
+            a[pdf.y, pdf.x] = pdf[v].fillna(0)
+            arrays.append(a)
+        found = kernel(*arrays)
+        return pd.DataFrame({"frame": key[0], "y": pdf.y, "x": pdf.x, **{k: a[pdf.y, pdf.x] for k, a in found.items()}})
+
+    done = cells.select(*CELL, *values).groupBy("frame").applyInPandas(run, f"frame {types['frame']}, y {types['y']}, x {types['x']}, {out}")
+    doubles = [k for k, t in done.dtypes if t == "double"]
+    return done.withColumns({k: F.nanvl(k, F.lit(None)) for k in doubles}) if doubles else done
 
 
 _AROUND = "JOIN {t} b ON b.frame = a.frame AND b.y BETWEEN a.y - {r} AND a.y + {r} AND b.x BETWEEN a.x - {r} AND a.x + {r}"
 
 
+def modes(groups: DataFrame, k: int) -> DataFrame:
+    """(frame, y, x, g): the most frequent group of each k x k window, the edge repeated; the own group wins a tie, then the smallest."""
+    return frame_map(groups, ["g"], lambda g: {"g": stencils.most_frequent(g, square(k))}, "g int")
+
+
 @query("mode_filter", with_views("""
 off AS (SELECT dy.i::INT AS dy, dx.i::INT AS dx FROM range(-1, 2) dy(i), range(-1, 2) dx(i)),
 n AS (SELECT a.frame, a.y, a.x, a.g AS own, b.g, count(*) AS n FROM gmap a CROSS JOIN off JOIN gmap b ON b.frame = a.frame AND b.y = greatest(0, least(9, a.y + dy)) AND b.x = greatest(0, least(15, a.x + dx)) GROUP BY ALL)
 SELECT frame, y, x, g FROM (SELECT *, row_number() OVER (PARTITION BY frame, y, x ORDER BY n DESC, g = own DESC, g) AS r FROM n) WHERE r = 1""", "gmap"))
 def mode_filter(spark, sf_dir):
     """The most frequent group of a 3 x 3 window, the edge repeated; the own group wins a tie, then the smallest."""
-    n = meet(gmap(spark, sf_dir), square(3), "replicate", ["g"], "g").groupBy(*CELL, "g", "there").agg(F.count("*").alias("n"))
-    best = n.groupBy(*CELL).agg(F.max(F.struct("n", (F.col("g") == F.col("there")).alias("own"), (-F.col("there")).alias("there"))).alias("b"))
-    return best.select(*CELL, (-F.col("b.there")).alias("g"))
+    return modes(gmap(spark, sf_dir), 3)
 
 
 @query("erode_mask", with_views(f"SELECT a.frame, a.y, a.x, count(*) FILTER (WHERE b.g <> 1) = 9 AS inner FROM gmap a {_AROUND.format(t='gmap', r=1)} GROUP BY ALL".replace("AS inner", 'AS "inner"'), "gmap"))
 def erode_mask(spark, sf_dir):
     """Cells whose whole 3 x 3 window lies in the mask; outside the frame is background."""
-    n = meet(gmap(spark, sf_dir), square(3), None, [], "g").groupBy(*CELL).agg(F.count_if(F.col("there") != 1).alias("n"))
-    return n.select(*CELL, (F.col("n") == 9).alias("inner"))
+    mask = gmap(spark, sf_dir).withColumn("m", (F.col("g") != 1).cast("int"))
+    return frame_map(mask, ["m"], lambda m: {"inner": stencils.all_of(m > 0, square(3))}, "inner boolean")
 
 
 _ELLIPSE = ", ".join(f"({dy}, {dx})" for dy, dx in ellipse(2))
@@ -68,7 +82,7 @@ _ELLIPSE = ", ".join(f"({dy}, {dx})" for dy, dx in ellipse(2))
 
 @query("dilate_mask", with_views(f"off(dy, dx) AS (VALUES {_ELLIPSE})\nSELECT a.frame, a.y, a.x, bool_or(b.g = 3) AS wide FROM gmap a CROSS JOIN off JOIN gmap b ON b.frame = a.frame AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY ALL", "gmap"))
 def dilate_mask(spark, sf_dir):
-    return meet(gmap(spark, sf_dir), ellipse(2), None, [], "g").groupBy(*CELL).agg(F.bool_or(F.col("there") == 3).alias("wide"))
+    return frame_map(gmap(spark, sf_dir), ["g"], lambda g: {"wide": stencils.any_of(g == 3, ellipse(2))}, "wide boolean")
 
 
 #: 3 x 3 derivative weights across and down.
@@ -76,13 +90,14 @@ SOBEL_X = [(-1, -1, -1), (-1, 1, 1), (0, -1, -2), (0, 1, 2), (1, -1, -1), (1, 1,
 SOBEL_Y = [(dx, dy, w) for dy, dx, w in SOBEL_X]
 
 
-def gradient(spark, sf_dir) -> DataFrame:
-    """(frame, y, x, gx, gy, mag): derivative over 8, the border mirrored."""
-    d = depth(spark, sf_dir)
-    parts = []
-    for name, kernel in (("gx", SOBEL_X), ("gy", SOBEL_Y)):
-        parts.append(meet(d, kernel, "reflect", [], "d").groupBy(*CELL).agg((F.round(F.sum(F.col("w") * F.col("there")), 5) / 8).alias(name)))
-    return parts[0].join(parts[1], CELL).withColumn("mag", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")))
+def gradient(cells: DataFrame) -> DataFrame:
+    """(frame, y, x, gx, gy, mag) of (frame, y, x, d): derivative over 8, the border mirrored."""
+
+    def kernel(d: np.ndarray) -> dict[str, np.ndarray]:
+        gx, gy = (np.round(stencils.weighted(d, k, "reflect"), 5) / 8 for k in (SOBEL_X, SOBEL_Y))
+        return {"gx": gx, "gy": gy, "mag": np.sqrt(gx * gx + gy * gy)}
+
+    return frame_map(cells, ["d"], kernel, "gx double, gy double, mag double")
 
 
 _FOLD = "CASE WHEN {a} < 0 THEN -({a}) WHEN {a} > {m} THEN 2 * {m} - ({a}) ELSE {a} END"
@@ -95,7 +110,7 @@ grad AS (SELECT frame, y, x, gx, gy, sqrt(gx * gx + gy * gy) AS mag FROM gx JOIN
 
 @query("sobel_gradient", with_views(_GRADIENT.strip() + "\nSELECT frame, y, x, gx, gy, mag FROM grad", "depth"))
 def sobel_gradient(spark, sf_dir):
-    return gradient(spark, sf_dir)
+    return gradient(depth(spark, sf_dir))
 
 
 _GAUSS = [(dy, dx, w) for dy, dx, w in ((a, b, round(2.718281828459045 ** (-(a * a + b * b) / 2), 9)) for a in (-2, -1, 0, 1, 2) for b in (-2, -1, 0, 1, 2))]
@@ -103,7 +118,9 @@ _GAUSS = [(dy, dx, w) for dy, dx, w in ((a, b, round(2.718281828459045 ** (-(a *
 
 @query("gaussian_blur", with_views(f"k(dy, dx, w) AS (VALUES {', '.join(map(str, _GAUSS))})\nSELECT a.frame, a.y, a.x, round(sum(w::DOUBLE * b.d) / sum(w::DOUBLE), 4) AS d FROM depth a CROSS JOIN k JOIN depth b ON b.frame = a.frame AND b.y = {_FOLD.format(a='a.y + dy', m=9)} AND b.x = {_FOLD.format(a='a.x + dx', m=15)} GROUP BY ALL", "depth"))
 def gaussian_blur(spark, sf_dir):
-    return meet(depth(spark, sf_dir), _GAUSS, "reflect", [], "d").groupBy(*CELL).agg(F.round(F.sum(F.col("w") * F.col("there")) / F.sum("w"), 4).alias("d"))
+    mass = sum(w for _, _, w in _GAUSS)
+    blurred = frame_map(depth(spark, sf_dir), ["d"], lambda d: {"d": stencils.weighted(d, _GAUSS, "reflect") / mass}, "d double")
+    return blurred.select(*CELL, F.round("d", 4).alias("d"))
 
 
 #: The two neighbours across an edge, for the four directions of the gradient.
@@ -117,19 +134,21 @@ nms AS (SELECT c.frame, c.y, c.x, any_value(c.mag) AS mag, bool_and(c.mag >= n.m
 )
 
 
-def ridges(spark, sf_dir) -> DataFrame:
-    """(frame, y, x, mag, ridge): cells not below either neighbour across the gradient, of which there are four directions."""
-    g = gradient(spark, sf_dir)
-    angle = F.pmod(F.degrees(F.atan2("gy", "gx")) + 180.0, F.lit(180.0))
-    g = g.withColumn("a", angle).withColumn("sector", F.when((F.col("a") < 22.5) | (F.col("a") >= 157.5), 0).when(F.col("a") < 67.5, 1).when(F.col("a") < 112.5, 2).otherwise(3))
-    offsets = [(dy, dx, s) for s, pair in enumerate(_ACROSS) for dy, dx in pair]
-    near = meet(g, offsets, "replicate", ["mag", "sector"], "mag").where("w = sector")
-    return near.groupBy(*CELL, "mag").agg((F.min("mag") >= F.max("there")).alias("top")).select(*CELL, "mag", (F.col("top") & (F.col("mag") > 0)).alias("ridge"))
+def ridges(cells: DataFrame) -> DataFrame:
+    """(frame, y, x, mag, ridge) of (frame, y, x, d): cells not below either neighbour across the gradient, of which there are four directions."""
+
+    def kernel(mag: np.ndarray, gx: np.ndarray, gy: np.ndarray) -> dict[str, np.ndarray]:
+        angle = (np.degrees(np.arctan2(gy, gx)) + 180.0) % 180.0
+        sector = np.where((angle < 22.5) | (angle >= 157.5), 0, np.where(angle < 67.5, 1, np.where(angle < 112.5, 2, 3)))
+        top = [np.maximum(*(stencils.shifted(mag, dy, dx, "edge") for dy, dx in pair)) for pair in _ACROSS]
+        return {"mag": mag, "ridge": (mag > 0) & (mag >= np.choose(sector, top))}
+
+    return frame_map(gradient(cells), ["mag", "gx", "gy"], kernel, "mag double, ridge boolean")
 
 
 @query("nms", with_views(_GRADIENT.strip() + "," + _NMS + "\nSELECT frame, y, x, ridge FROM nms", "depth"))
 def nms(spark, sf_dir):
-    return ridges(spark, sf_dir).select(*CELL, "ridge")
+    return ridges(depth(spark, sf_dir)).select(*CELL, "ridge")
 
 
 _BOUNDARY = """
@@ -138,29 +157,40 @@ bnd AS (SELECT a.frame, a.y, a.x FROM pad a JOIN pad b ON b.frame = a.frame AND
 dist AS (SELECT a.frame, a.y, a.x, round(min(sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2)), 6) AS dist FROM gmap a LEFT JOIN bnd b ON b.frame = a.frame GROUP BY ALL)"""
 
 
-def boundary_distances(spark, sf_dir) -> DataFrame:
-    """(frame, y, x, dist): to the nearest cell next to another group; the frame is surrounded by background."""
-    m = gmap(spark, sf_dir).where("g <> 0").select("frame", "y", "x", "g")
-    # every cell of a one-cell frame around the grid sees its neighbours; a missing neighbour is background
-    seen = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in square(3)))
-    near = m.select("frame", F.col("g"), F.inline(seen), "y", "x").select("frame", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "g")
-    edge = near.groupBy("frame", "y", "x").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("n")).where("n < 9 or lo <> hi")
-    per_frame = edge.groupBy("frame").agg(F.collect_list(F.struct("y", "x")).alias("edge"))  # at most a frame's cells
-    cells = gmap(spark, sf_dir).join(per_frame, "frame", "left")
-    far = F.array_min(F.transform("edge", lambda e: F.sqrt(((F.col("y") - e["y"]) * (F.col("y") - e["y"]) + (F.col("x") - e["x"]) * (F.col("x") - e["x"])).cast("double"))))
-    return cells.select(*CELL, "g", F.round(far, 6).alias("dist"))
+def boundary_distances(groups: DataFrame) -> DataFrame:
+    """(frame, y, x, g, dist) of (frame, y, x, g): to the nearest cell next to another group; the frame is surrounded by background. Null where there is none."""
+
+    def kernel(g: np.ndarray) -> dict[str, np.ndarray]:
+        d = trace.boundary_distance(g)
+        return {"g": g, "dist": np.where(np.isfinite(d), d, np.nan)}
+
+    return frame_map(groups, ["g"], kernel, "g int, dist double").withColumn("dist", F.round("dist", 6))
 
 
 @query("boundary_distance", with_views(_BOUNDARY.strip() + "\nSELECT frame, y, x, dist FROM dist", "gmap"))
 def boundary_distance(spark, sf_dir):
-    return boundary_distances(spark, sf_dir).select(*CELL, "dist")
+    return boundary_distances(gmap(spark, sf_dir)).select(*CELL, "dist")
 
 
 @query("pair_band", with_views(f"SELECT DISTINCT a.frame, a.y, a.x, least(a.g, b.g) AS lo, greatest(a.g, b.g) AS hi FROM gmap a {_AROUND.format(t='gmap', r=1)} WHERE a.g <> b.g AND a.g > 0 AND b.g > 0", "gmap"))
 def pair_band(spark, sf_dir):
     """Cells of a group that touch another group, for each pair of groups."""
-    n = meet(gmap(spark, sf_dir), square(3), None, ["g"], "g").where("g <> there and g > 0 and there > 0")
-    return n.select(*CELL, F.least("g", "there").alias("lo"), F.greatest("g", "there").alias("hi")).distinct()
+    return pair_cells(gmap(spark, sf_dir))
+
+
+def pair_cells(groups: DataFrame) -> DataFrame:
+    """(frame, y, x, lo, hi): cells of (frame, y, x, g) that touch another group, background apart, once for each such pair."""
+
+    def kernel(g: np.ndarray) -> dict[str, np.ndarray]:
+        near = np.stack([stencils.shifted(g, dy, dx, "constant") for dy, dx in square(3)], axis=2)
+        there = np.where((near != g[..., None]) & (near > 0) & (g[..., None] > 0), near, 0)
+        out = np.empty(g.shape, object)
+        for at in np.argwhere(there.any(2)).tolist():
+            out[tuple(at)] = sorted(set(there[tuple(at)].tolist()) - {0})
+        return {"g": g, "others": out}
+
+    touching = frame_map(groups, ["g"], kernel, "g int, others array<int>").select(*CELL, "g", F.explode("others").alias("other"))
+    return touching.select(*CELL, F.least("g", "other").alias("lo"), F.greatest("g", "other").alias("hi"))
 
 
 #: The eight neighbours in a circle.
@@ -174,7 +204,9 @@ SELECT p.frame, p.y, p.x, sum((p.v = 0 AND q.v = 1)::INT)::BIGINT AS crossings,
 def crossing_number(spark, sf_dir):
     """How often the circle around a mask cell enters the mask; three times and more make a junction."""
     m = gmap(spark, sf_dir).where("g = 3")
-    near = meet(m, [(dy, dx, k) for k, (dy, dx) in enumerate(RING)], None, [], "g").groupBy(*CELL).agg(F.collect_set(F.col("w").cast("int")).alias("on"))
-    cells = m.select(*CELL).join(near, CELL, "left").withColumn("on", F.coalesce("on", F.array().cast("array<int>")))
-    enters = F.size(F.filter(F.col("on"), lambda k: ~F.array_contains(F.col("on"), (k + 7) % 8)))
-    return cells.select(*CELL, enters.cast("long").alias("crossings"), (enters >= 3).alias("junction"))
+
+    def kernel(g: np.ndarray) -> dict[str, np.ndarray]:
+        n, junction = stencils.entries(g == 3)
+        return {"crossings": n, "junction": junction}
+
+    return frame_map(m, ["g"], kernel, "crossings long, junction boolean")

@@ -180,3 +180,41 @@ def test_percentiles_like_numpy(spark):
         assert [got[k][n] for n in wanted] == pytest.approx([np.percentile(v, 100 * q) for q in wanted.values()])
     (one,) = percentiles(df, [], "v", {"p": 0.9}).collect()
     assert one.p == pytest.approx(np.percentile(np.concatenate(list(parts.values())), 90))
+
+
+def test_stencils_and_components_of_a_large_frame(spark):
+    """Frames of any size, against plain loops over some of their cells."""
+    from framewright.plans import stencil
+    from framewright.plans.components import components
+
+    r = np.random.default_rng(5)
+    g = np.kron(r.integers(0, 4, (48, 61)), np.ones((10, 14), int))
+    z = np.round(r.normal(size=g.shape), 3)
+    df = spark.createDataFrame(cells(g, z)).withColumn("g", vectorize.F.col("g").cast("int")).repartition(4)
+    h, w = g.shape
+
+    def whole(frame, value):
+        out = np.zeros(g.shape)
+        pdf = frame.toPandas()
+        assert len(pdf) == h * w
+        out[pdf.y, pdf.x] = pdf[value]
+        return out
+
+    lab = whole(components(df, 4, w), "comp")
+    assert (lab == kernels.label(g, 4)).all()
+    with pytest.raises(Exception, match="854"):
+        components(df, 4).count()
+    away = whole(stencil.boundary_distances(df), "dist")
+    modes = whole(stencil.modes(df, 3), "g")
+    mag = whole(stencil.gradient(df), "mag")
+    some = r.integers(0, (h, w), (60, 2))
+    edges = np.argwhere(trace.group_edges(g)) - 1
+    for y, x in some.tolist():
+        near = [int(g[min(max(y + dy, 0), h - 1), min(max(x + dx, 0), w - 1)]) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+        assert modes[y, x] == max(set(near), key=lambda v: (near.count(v), v == g[y, x], -v))
+        assert away[y, x] == pytest.approx(np.hypot(*(edges - (y, x)).T).min(), abs=1e-6)
+        fold = lambda i, n: -i if i < 0 else 2 * n - 2 - i if i >= n else i
+        at = lambda dy, dx: z[fold(y + dy, h), fold(x + dx, w)]  # noqa: E731, B023
+        gx = sum(k * (at(dy, 1) - at(dy, -1)) for dy, k in ((-1, 1), (0, 2), (1, 1))) / 8
+        gy = sum(k * (at(1, dx) - at(-1, dx)) for dx, k in ((-1, 1), (0, 2), (1, 1))) / 8
+        assert mag[y, x] == pytest.approx(np.hypot(gx, gy), abs=1e-4)
