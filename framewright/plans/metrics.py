@@ -38,8 +38,8 @@ SELECT source, max(s) AS tau FROM c WHERE cum >= 0.9 * total GROUP BY 1""")
 def retention_threshold(spark, sf_dir):
     """The largest threshold that keeps nine tenths of the positives by weight."""
     by = Window.partitionBy("source")
-    pos = scores(spark, sf_dir).where("y = 1")
-    c = pos.withColumn("cum", F.sum("w").over(by.orderBy(F.desc("s")).rangeBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("w").over(by))
+    each = scores(spark, sf_dir).where("y = 1").groupBy("source", "s").agg(F.sum("w").alias("w"))  # a row for each distinct score
+    c = each.withColumn("cum", F.sum("w").over(by.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("w").over(by))
     return c.where(F.col("cum") >= 0.9 * F.col("total")).groupBy("source").agg(F.max("s").alias("tau"))
 
 

@@ -60,8 +60,10 @@ def qc_summary(spark, sf_dir):
 
 @query("qc_warning", with_views(_ROWS.strip() + "\nSELECT count(*) AS n, array_to_string(list_slice(list(frame ORDER BY frame), 1, 10), ' ') AS first FROM reasons WHERE len(r) > 0", "gmap"))
 def qc_warning(spark, sf_dir):
+    """How many frames fail, and the first ten of them."""
     bad = quality_rows(spark, sf_dir).where(F.size("r") > 0)
-    return bad.agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_list("frame")), 1, 10), " ").alias("first"))
+    first = bad.select("frame").orderBy("frame").limit(10).agg(F.array_join(F.array_sort(F.collect_list("frame")), " ").alias("first"))
+    return bad.agg(F.count("*").alias("n")).crossJoin(F.broadcast(first))  # one row each
 
 
 @query("argmax_mismatch", with_views("SELECT frame, round(avg((g <> (y + x + frame) % 4)::INT) * 100, 6) AS pct FROM gmap GROUP BY 1", "gmap"))

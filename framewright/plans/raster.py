@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from framewright.plans.percentile import percentiles
 from framewright.registry import query
 from framewright.sources.views import HEIGHT, WIDTH, depth, gmap, poly, px, with_views
 
@@ -177,4 +178,5 @@ def clip_thresholds(spark, sf_dir):
     d = depth(spark, sf_dir)
     right = d.select("frame", "y", (F.col("x") - 1).alias("x"), F.col("d").alias("r"))
     m = d.join(right, ["frame", "y", "x"]).select(F.abs(F.col("r") - F.col("d")).alias("m"))
-    return m.agg(F.round(F.greatest(F.percentile("m", 0.95), F.lit(20.0)), 6).alias("t_high"), F.round(F.percentile("m", 0.9), 6).alias("t_low"), F.count("*").alias("n"))
+    t = percentiles(m, [], "m", {"t_high": 0.95, "t_low": 0.9})
+    return t.select(F.round(F.greatest("t_high", F.lit(20.0)), 6).alias("t_high"), F.round("t_low", 6).alias("t_low"), "n")

@@ -1,4 +1,4 @@
-"""Sinks: staged writes that appear whole or not at all, and PNG frames."""
+"""Sinks: staged writes, and PNG frames."""
 
 from __future__ import annotations
 
@@ -13,7 +13,10 @@ from framewright.sources.frames import encode_png
 
 
 def promote(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Write beside ``path`` and swap it in by renames of the file system that holds it; what was there goes last."""
+    """Write beside ``path`` and swap it in by renames of the file system that holds it; what was there goes last.
+
+    Readers see the old table, none between the two renames, or the whole new one; never a part.
+    """
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     part, old = f"{path}.partial-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"

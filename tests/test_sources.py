@@ -90,3 +90,68 @@ def test_promote_and_pngs(spark, tmp_path):
     assert frames.decode_png(bytes(row.png))[:, :, 0].tolist() == [[255, 0, 0, 0], [0, 0, 200, 0], [0, 0, 0, 0]]
     (bits,) = sinks.pack_masks(cells, 3, 4).collect()
     assert np.unpackbits(np.frombuffer(bits.bits, np.uint8))[:12].tolist() == [1, 0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 0]
+
+
+def test_arrays(spark, tmp_path):
+    from framewright.sources import arrays
+
+    z = np.arange(6, dtype=np.float16).reshape(2, 3)
+    np.save(tmp_path / "depth_00003.npy", z)
+    np.save(tmp_path / "depth_00004.npy", z[:, :2])
+    np.save(tmp_path / "depth_00005.npy", np.where(z == 1, np.nan, z).astype(np.float32))
+    np.save(tmp_path / "depth_00006.npy", z.astype(int))
+    np.save(tmp_path / "depth_00007.npy", np.array([{}]), allow_pickle=True)
+    (tmp_path / "depth_00008.npy").write_bytes(b"x")
+    (tmp_path / "depth_00009.npy").write_bytes(b"")  # no row
+    (tmp_path / "other.npy").write_bytes(b"\x93NUMPY broken")
+    found = arrays.read_arrays(spark, str(tmp_path), shape=(2, 3))
+    got = {r.frame: r for r in found.collect()}
+    assert {k: r.problem for k, r in got.items()} == {3: None, 4: "shape", 5: "not finite", 6: "kind", 7: "unreadable", 8: "unreadable", None: "unreadable"}
+    assert np.frombuffer(bytes(got[3].data), "<f4").tolist() == list(range(6)) and got[5].data is None
+    assert [(r.frame, r.y, r.x, r.d) for r in arrays.cells_of(found).orderBy("y", "x").collect()] == [(3, i // 3, i % 3, float(i)) for i in range(6)]
+    probs = np.random.default_rng(1).integers(0, 255, (29, 2, 3)).astype(np.uint8)
+    np.savez_compressed(tmp_path / "p_1.npz", probs=probs)
+    np.savez_compressed(tmp_path / "p_2.npz", a=probs, b=probs)
+    got = {r.frame: r for r in arrays.read_arrays(spark, str(tmp_path), "*.npz", "u", (29, 2, 3)).collect()}
+    assert bytes(got[1].data) == probs.tobytes() and got[1].shape == [29, 2, 3] and got[2].problem == "member"
+    sizes = {r.name: (r.files, r.bytes) for r in arrays.folder_size(spark, {"all": str(tmp_path), "npz": str(tmp_path)}, "*.npz").collect()}
+    assert sizes["all"] == (2, sum((tmp_path / f"p_{i}.npz").stat().st_size for i in (1, 2)))
+
+
+def test_labels(spark, tmp_path):
+    from framewright.sources import arrays
+
+    a = np.array([[0, 1], [2, 3]], np.uint8)
+    for i, v in enumerate((a, a + 3, a[:1], np.stack([a] * 3, axis=2))):
+        (tmp_path / f"g_{i}.png").write_bytes(frames.encode_png(v))
+    (tmp_path / "g_4.png").write_bytes(b"x")
+    got = {r.frame: r.problem for r in arrays.read_labels(spark, str(tmp_path), 3, (2, 2)).collect()}
+    assert got == {0: None, 1: "label", 2: "shape", 3: "channels", 4: "unreadable"}
+
+
+def test_stroke_documents(spark, tmp_path):
+    import hashlib
+
+    from framewright.sources import arrays
+
+    before = None
+
+    def put(name, **change):
+        nonlocal before
+        i = int(name)
+        doc = {"frame_index": i, "width": 8, "height": 6, "source": {"vectorize_hash": "h"}, "prev_sha256": before, "strokes": [{"track_id": 1, "type": "silhouette", "closed": True, "groups": ["background"], "points": [[0.5, 1.5]], "anchor": 0}]} | change
+        data = json.dumps(doc).encode()
+        (tmp_path / f"frame_{name}.json").write_bytes(data)
+        before = hashlib.sha256(data).hexdigest()
+
+    put("00005")
+    put("00006")
+    put("00007", width=9)
+    put("00008", source={"vectorize_hash": "other"})
+    put("00009", frame_index=1)
+    put("00010", prev_sha256="x")
+    put("00011")
+    (tmp_path / "frame_00012.json").write_text("{")
+    rows = {r.frame: r for r in arrays.read_strokes(spark, str(tmp_path), 8, 6, "h").collect()}
+    assert {k: r.problem for k, r in rows.items()} == {5: None, 6: None, 7: "size", 8: "parameters", 9: "frame", 10: "chain", 11: None, 12: "unreadable"}
+    assert rows[5].strokes[0].points == [[0.5, 1.5]]
