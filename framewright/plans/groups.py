@@ -142,3 +142,13 @@ def class_group_lut(spark, sf_dir):
     lut = F.create_map(*(F.lit(x) for x in ("F-BUILDING", 1, "HOUSEHOLD", 2, "MACHINERY", 2, "BUILDING", 1)))
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     return c.groupBy(F.col("c_mktsegment").alias("class")).agg(F.count("*").alias("n")).select("class", F.coalesce(F.try_element_at(lut, F.col("class")), F.lit(0)).alias("g"), "n")
+
+
+def mask_of(groups: DataFrame, ids: list[int]) -> DataFrame:
+    """(frame, y, x, mask): whether a cell belongs to one of some groups; null groups don't."""
+    return groups.select(*CELL, F.coalesce(F.col("g").isin(ids), F.lit(False)).alias("mask"))
+
+
+@query("groups_mask", with_views("SELECT frame, y, x, g IN (1, 3) AS mask FROM gmap", "gmap"))
+def groups_mask(spark, sf_dir):
+    return mask_of(gmap(spark, sf_dir), [1, 3])

@@ -276,6 +276,27 @@ def turn_angles(spark, sf_dir):
     return s.select("stroke", (F.col("k") + 3).alias("j"), F.round("turn", 3).alias("turn"), ((F.col("turn") > 60) & (F.col("turn") >= top)).alias("corner"))
 
 
+def records(s: DataFrame) -> DataFrame:
+    """(stroke, json) of (stroke, track, kind, closed, groups, p, strength): fields in a fixed order, no field for what is null.
+
+    Closed strokes have the index of their first point as anchor.
+    """
+    pairs = F.transform("p", lambda q: F.array(q["x"], q["y"])).alias("points")
+    anchor = F.when(F.col("closed"), F.lit(0)).alias("anchor")
+    return s.select("stroke", F.to_json(F.struct(F.col("track").alias("track_id"), F.col("kind").alias("type"), "closed", "groups", pairs, anchor, "strength")).alias("json"))
+
+
+@query("stroke_records", with_views("""
+p AS (SELECT stroke, any_value(type) AS type, list([x, y] ORDER BY j) AS points FROM poly GROUP BY 1)
+SELECT stroke, stroke + 1 AS track, CASE type WHEN 0 THEN 'silhouette' WHEN 1 THEN 'group_boundary' ELSE 'occlusion' END AS kind, type = 0 AS closed, len(points) AS n, CASE WHEN type = 0 THEN 0 END AS anchor, CASE WHEN type >= 2 THEN 0.5::DOUBLE END AS strength, points[1][1] AS x, points[32][2] AS y FROM p""", "poly"))
+def stroke_records(spark, sf_dir):
+    """Finished strokes as records, written and read back."""
+    kind = F.when(F.col("type") == 0, "silhouette").when(F.col("type") == 1, "group_boundary").otherwise("occlusion")
+    s = strokes(spark, sf_dir).select("stroke", (F.col("stroke") + 1).alias("track"), kind.alias("kind"), (F.col("type") == 0).alias("closed"), F.array(F.lit("a")).alias("groups"), "p", F.when(F.col("type") >= 2, 0.5).alias("strength"))
+    back = F.from_json("json", "track_id long, type string, closed boolean, groups array<string>, points array<array<double>>, anchor int, strength double").alias("r")
+    return records(s).select("stroke", back).select("stroke", F.col("r.track_id").alias("track"), F.col("r.type").alias("kind"), "r.closed", F.size("r.points").cast("long").alias("n"), "r.anchor", "r.strength", F.col("r.points")[0][0].alias("x"), F.col("r.points")[31][1].alias("y"))
+
+
 @query("simplify")
 def simplify(spark, sf_dir):
     """Points kept by recursive splitting at a distance of four."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from framewright.plans.groups import RADIUS, RHO, smooth
 from framewright.registry import query
 from framewright.sources.views import HEIGHT, WIDTH, gmap, px, seq, table, with_views
 
@@ -124,6 +125,19 @@ def depth_log_median_iqr(spark, sf_dir):
     return _log_depth(spark, sf_dir).select("frame", "y", "x", F.round((F.col("v") - F.col("m")) / F.greatest(F.col("b") - F.col("a"), F.lit(0.05)), 6).alias("z"))
 
 
+_SMOOTH_DEPTH = f"""
+z AS (SELECT frame, y, x, v - m AS z FROM l JOIN st USING (frame)),
+zs AS (SELECT a.frame, a.y, a.x, sum({RHO!r}::DOUBLE ** abs(b.frame - a.frame) * b.z) AS n, sum({RHO!r}::DOUBLE ** abs(b.frame - a.frame)) AS m FROM z a JOIN z b ON b.y = a.y AND b.x = a.x AND b.frame BETWEEN a.frame - {RADIUS} AND a.frame + {RADIUS} GROUP BY 1, 2, 3)"""
+
+
+@query("smoothed_depth", with_views(_DEPTH.strip() + "," + _SMOOTH_DEPTH + "\nSELECT frame, y, x, round(n / m, 5) AS z FROM zs", "depth", "gmap"))
+def smoothed_depth(spark, sf_dir):
+    """Normalised depth under the same kernel over time as the groups."""
+    z = _log_depth(spark, sf_dir).select("frame", "y", "x", (F.col("v") - F.col("m")).alias("z"))
+    n, m = smooth("z", None, ["y", "x"], "frame", RHO, RADIUS)
+    return z.select("frame", "y", "x", F.round(n / m, 5).alias("z"))
+
+
 @query("half_depth", with_views("SELECT frame, count(*) FILTER (WHERE d * 40 > 65504) AS over, round(min(CASE WHEN d * 40 > 65504 THEN 0 ELSE d * 40 END), 4) AS lo FROM depth GROUP BY 1", "depth"))
 def half_depth(spark, sf_dir):
     """What a half float can't hold becomes 0 and is counted."""

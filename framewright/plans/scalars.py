@@ -149,3 +149,28 @@ def disk_estimate(spark, sf_dir):
 @query("utc_labels", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS stamp FROM events")
 def utc_labels(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.concat(F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")).alias("stamp"))
+
+
+#: The width that lengths of a style refer to, and the steepness from which a displaced line may fold.
+REFERENCE_WIDTH, FOLD = 1080, 0.19
+
+
+@query("pen_geometry", f"""
+WITH s AS (SELECT p_partkey, (256 + 32 * p_size)::DOUBLE AS w, (256 + 32 * p_size) / {REFERENCE_WIDTH}.0::DOUBLE AS unit FROM part)
+SELECT p_partkey, round(unit, 6) AS unit, round(4 * unit, 6) AS width, round(2.8 * unit, 6) AS epsilon, round(5 * unit, 6) AS smooth, round(w / 480, 6) AS scale, 4 * unit < w / 480 AS too_thin FROM s""")
+def pen_geometry(spark, sf_dir):
+    """Lengths of a style at an output width; lines thinner than the scale don't reach the edge they end on."""
+    w = (256 + 32 * F.col("p_size")).cast("double")
+    s = table(spark, sf_dir, "part").select("p_partkey", w.alias("w"), (w / REFERENCE_WIDTH).alias("unit"))
+    at = lambda v, name: F.round(v * F.col("unit"), 6).alias(name)
+    return s.select("p_partkey", at(1, "unit"), at(4, "width"), at(2.8, "epsilon"), at(5, "smooth"), F.round(F.col("w") / 480, 6).alias("scale"), (4 * F.col("unit") < F.col("w") / 480).alias("too_thin"))
+
+
+@query("fold_ratio", f"""
+WITH r AS (SELECT l_orderkey, l_linenumber, l_quantity / 10::DOUBLE * l_tax * (sqrt(1 - l_discount) + sqrt(l_discount)) AS r FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(r, 6) AS r, r > {FOLD} AS warn FROM r""")
+def fold_ratio(spark, sf_dir):
+    """Amplitude times frequency of a displacement whose strokes are partly independent, and whether lines may fold."""
+    share = F.col("l_discount").cast("double")
+    r = F.col("l_quantity").cast("double") / 10 * F.col("l_tax").cast("double") * (F.sqrt(1 - share) + F.sqrt(share))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(r, 6).alias("r"), (r > FOLD).alias("warn"))

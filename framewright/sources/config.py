@@ -9,6 +9,7 @@ from difflib import get_close_matches
 from typing import Any
 
 
+#: Defaults and names are those that runs elsewhere use.
 @dataclasses.dataclass(frozen=True)
 class Quality:
     area_min: float = 0.03
@@ -58,17 +59,42 @@ def _no_repeats(pairs: list[tuple[str, Any]]) -> dict:
     return dict(pairs)
 
 
-def load(text: str = "{}", overrides: dict[str, Any] | None = None) -> Pipeline:
-    """Parameters from a JSON document and overrides such as ``{"quality.iou_min": 0.5}``."""
-    known = flatten(dataclasses.asdict(Pipeline()))
-    values = known | flatten(json.loads(text, object_pairs_hook=_no_repeats)) | (overrides or {})
-    for k in values:
+def _fits(value: Any, default: Any) -> bool:
+    """Numbers for numbers, whole ones for whole ones, truth values for truth values, lists of like things for lists."""
+    if isinstance(default, tuple):
+        return isinstance(value, (list, tuple)) and all(isinstance(v, int) and not isinstance(v, bool) for v in value)
+    if isinstance(default, bool) or isinstance(value, bool):
+        return isinstance(default, bool) and isinstance(value, bool)
+    return isinstance(value, int if isinstance(default, int) else (int, float))
+
+
+def typed(defaults: Any, text: str = "{}", overrides: dict[str, Any] | None = None) -> Any:
+    """Any parameters (a data class, perhaps with data classes in it) from a JSON document and dotted overrides."""
+    known = flatten(dataclasses.asdict(defaults))
+    values = flatten(json.loads(text, object_pairs_hook=_no_repeats)) | (overrides or {})
+    for k, v in values.items():
         if k not in known:
             raise ValueError(f"unknown key {k}; similar: {get_close_matches(k, known, 3, 0.6)}")
-        if not isinstance(values[k], (int, float)) or isinstance(values[k], bool):
-            raise ValueError(f"{k} must be a number")
-    parts = {f.name: type(f.default)(**{k.partition(".")[2]: v for k, v in values.items() if k.startswith(f.name + ".")}) if dataclasses.is_dataclass(f.default) else values[f.name] for f in dataclasses.fields(Pipeline)}
-    out = Pipeline(**parts)
+        if not _fits(v, known[k]):
+            raise ValueError(f"{k} must be {'a truth value' if isinstance(known[k], bool) else 'a list of whole numbers' if isinstance(known[k], tuple) else 'a number'} like {known[k]}")
+
+    def build(part: Any, prefix: str) -> Any:
+        new = {}
+        for f in dataclasses.fields(part):
+            default = getattr(part, f.name)
+            if dataclasses.is_dataclass(default):
+                new[f.name] = build(default, f"{prefix}{f.name}.")
+            else:
+                value = values.get(prefix + f.name, default)
+                new[f.name] = tuple(value) if isinstance(default, tuple) else value
+        return type(part)(**new)
+
+    return build(defaults, "")
+
+
+def load(text: str = "{}", overrides: dict[str, Any] | None = None) -> Pipeline:
+    """Parameters of the pipeline from a JSON document and overrides such as ``{"quality.iou_min": 0.5}``, checked against each other."""
+    out = typed(Pipeline(), text, overrides)
     q, t, m = out.quality, out.temporal, out.target_mask
     for ok, what in (
         (0 <= q.area_min < q.area_max <= 1, "0 <= quality.area_min < quality.area_max <= 1"),

@@ -92,6 +92,17 @@ def test_promote_and_pngs(spark, tmp_path):
     assert np.unpackbits(np.frombuffer(bits.bits, np.uint8))[:12].tolist() == [1, 0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 0]
 
 
+def test_parameters_of_operators():
+    from framewright.plans.crop import Crop
+    from framewright.plans.vectorize import Lines
+
+    assert config.typed(Lines(), '{"without": [1, 3], "far": 5}') == Lines(without=(1, 3), far=5)
+    assert config.typed(Crop(), overrides={"least_band": 4}).least_band == 4
+    for bad in ('{"far": "5"}', '{"least_region": 1.5}', '{"without": 3}', '{"fat": 5}', '{"far": true}'):
+        with pytest.raises(ValueError, match="fa[rt]|least_region|without"):
+            config.typed(Lines(), bad)
+
+
 def test_arrays(spark, tmp_path):
     from framewright.sources import arrays
 
