@@ -83,8 +83,9 @@ def stroke_document(spark, sf_dir):
     return p.select("stroke", F.to_json(F.struct(F.col("frame").alias("frame_index"), F.transform("r", lambda s: s["q"]).alias("points"))).alias("doc"))
 
 
-@query("svg_document", with_views("SELECT stroke, '<path d=\"M' || string_agg(printf('%.3f', x) || ' ' || printf('%.3f', y), ' L' ORDER BY j) || '\"/>' AS svg FROM poly GROUP BY 1", "poly"))
+@query("svg_document", with_views("SELECT stroke, '<path d=\"M' || string_agg(printf('%.3f', x + 0.0::DOUBLE) || ' ' || printf('%.3f', y + 0.0::DOUBLE), ' L' ORDER BY j) || '\"/>' AS svg FROM poly GROUP BY 1", "poly"))
 def svg_document(spark, sf_dir):
+    """A stroke as an SVG path with three decimals; zero has no sign."""
     p = poly(spark, sf_dir).groupBy("stroke").agg(F.array_sort(F.collect_list(F.struct("j", F.format_string("%.3f %.3f", "x", "y").alias("t")))).alias("r"))
     return p.select("stroke", F.concat(F.lit('<path d="M'), F.array_join(F.transform("r", lambda s: s["t"]), " L"), F.lit('"/>')).alias("svg"))
 
