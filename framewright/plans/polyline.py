@@ -271,7 +271,7 @@ def turn_angles(spark, sf_dir):
         return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))))
 
     s = strokes(spark, sf_dir).withColumn("t", F.transform(F.sequence(F.lit(3), F.lit(N - 4)), turn))
-    s = s.select("stroke", "t", F.posexplode("t").alias("k", "turn"))
+    s = s.select("stroke", "t", F.posexplode_outer("t").alias("k", "turn"))  # t is never empty; without outer a filter on its size is put on the scan, with p built anew for each of its uses
     top = F.array_max(F.slice("t", F.greatest(F.col("k") - 2, F.lit(1)), F.least(F.col("k") + 4, F.lit(N - 6)) - F.greatest(F.col("k") - 3, F.lit(0))))
     return s.select("stroke", (F.col("k") + 3).alias("j"), F.round("turn", 3).alias("turn"), ((F.col("turn") > 60) & (F.col("turn") >= top)).alias("corner"))
 
