@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from framewright.operators import kernels
 from framewright.plans.polyline import _AREA, signed, strokes
@@ -25,6 +25,56 @@ bw AS (SELECT cur, prev, avg(d) AS d FROM (SELECT cur, prev, qj, min(d) AS d FRO
 cost AS (SELECT cur, prev, round((fw.d + bw.d) / 2, 6) AS cost FROM fw JOIN bw USING (cur, prev))"""
 
 
+#: Strokes of a block, about; two blocks are compared by one kernel and travel once for all their pairs.
+SIDE = 512
+
+
+def by_blocks(cur: DataFrame, prev: DataFrame, keys: list[str], found: Callable[..., Iterator[pa.RecordBatch]], schema: str, limit: float = np.inf) -> DataFrame:
+    """Strokes of ``cur`` against those of ``prev``, both (keys, stroke, p), with the same keys, block by block.
+
+    ``found(key, cur, prev, cost)`` gets the values of the keys, the strokes of two blocks in order and
+    the distances as a matrix, infinite from ``limit`` on where that shows without them and NaN for
+    strokes without points, and gives batches of ``schema``. Strokes of a key are dealt to blocks by hash.
+    """
+    spark = cur.sparkSession
+    most, groups = cur.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n"), F.count("*")).first()
+    k = max(1, -(-(most or 0) // SIDE))
+    xy = F.flatten(F.transform("p", lambda q: F.array(q["x"], q["y"]))).alias("xy")
+    blocks = lambda s, name: s.groupBy(*keys, F.pmod(F.xxhash64("stroke"), F.lit(k)).alias("part")).agg(F.collect_list(F.struct("stroke", xy)).alias(name)).drop("part")
+    pairs = groups * k * k
+    parts = max(1, min(pairs, max(4 * spark.sparkContext.defaultParallelism, pairs // 32)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                (a, p), (b, q) = (_strokes(batch.column(c)[r].values) for c in ("a", "b"))
+                yield from found([batch.column(c)[r].as_py() for c in keys], a, b, kernels.mutual_distances(p, q, limit))
+
+    return blocks(cur, "a").join(blocks(prev, "b"), keys).select(*keys, "a", "b").repartition(parts).mapInArrow(run, schema)
+
+
+def _strokes(block: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in order and points (stroke, point, 2) of a block; points that are null or beyond a stroke's end are NaN."""
+    ids, xy = block.field("stroke").to_numpy(zero_copy_only=False), block.field("xy")
+    n = pc.fill_null(pc.list_value_length(xy), 0).to_numpy(zero_copy_only=False) // 2
+    p = np.full((len(ids), n.max(initial=0), 2), np.nan)
+    p[np.arange(p.shape[1]) < n[:, None]] = xy.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, 2)
+    p[np.isnan(p).any(axis=2)] = np.nan
+    order = np.argsort(ids)
+    return ids[order], p[order]
+
+
+def rounded(cost: np.ndarray) -> np.ndarray:
+    """Costs to six places, halves up, as the SQL rounds them."""
+    return np.floor(cost * 1e6 + 0.5) / 1e6
+
+
+def successive(spark, sf_dir, found: Callable[..., Iterator[pa.RecordBatch]], schema: str, limit: float = np.inf) -> DataFrame:
+    """``by_blocks`` of strokes of a kind in successive frames."""
+    s = strokes(spark, sf_dir)
+    return by_blocks(s, s.withColumn("frame", F.col("frame") + 1), ["frame", "type"], found, schema, limit)
+
+
 def costs(spark, sf_dir, limit: float | None = None):
     """(frame, cur, prev, cost): mean distance to the nearest point, both ways, between strokes of a kind in successive frames."""
     s = strokes(spark, sf_dir)
@@ -87,18 +137,43 @@ def nearest_match(spark, sf_dir):
     return costs(spark, sf_dir, 18.0).where("cost < 18").groupBy("cur").agg(F.min(F.struct("cost", "prev")).alias("b")).select("cur", "b.prev")
 
 
+def matched(cur: DataFrame, prev: DataFrame, keys: list[str], limit: float, round_first: bool) -> DataFrame:
+    """(keys, cur, prev, cost) one-to-one: as many as possible below the limit, of the smallest total cost.
+
+    Strokes with other keys are never matched, so each key is a problem of its own. Costs travel as
+    matrices of blocks, four bytes a pair; a key's whole matrix is in one task.
+    """
+    if limit * 1e6 >= 1 << 31:
+        raise ValueError("costs in millionths must fit 32 bits")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cur.select(*keys).schema)
+    arrow = [f.type for f in to_arrow_schema(cur.select(*keys).schema)]
+
+    def run(key: list, a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> Iterator[pa.RecordBatch]:
+        r = rounded(cost)
+        with np.errstate(invalid="ignore"):
+            ok = (r if round_first else cost) < limit
+        c = np.where(ok, np.rint(np.where(ok, r, 0) * 1e6), -1).astype(np.int32)
+        if ok.any():
+            yield pa.RecordBatch.from_arrays([*(pa.array([v], t) for v, t in zip(key, arrow, strict=True)), pa.array([a], pa.list_(pa.int64())), pa.array([b], pa.list_(pa.int64())), pa.array([c.tobytes()], pa.binary())], [*keys, "a", "b", "c"])
+
+    def best(group: pa.Table) -> pa.Table:
+        a, b = ([x.values.to_numpy() for x in group.column(c)] for c in ("a", "b"))
+        cur, prev = np.unique(np.concatenate(a)), np.unique(np.concatenate(b))
+        c = np.full((len(cur), len(prev)), -1, np.int32)
+        for x, y, block in zip(a, b, group.column("c"), strict=True):
+            c[np.ix_(np.searchsorted(cur, x), np.searchsorted(prev, y))] = np.frombuffer(block.as_buffer(), np.int32).reshape(len(x), len(y))
+        i, j = np.array(kernels.assign_whole(c), int).reshape(-1, 2).T
+        return pa.table([*(pa.array([group.column(k)[0].as_py()] * len(i), group.schema.field(k).type) for k in keys), pa.array(cur[i]), pa.array(prev[j]), pa.array(c[i, j] / 1e6)], [*keys, "cur", "prev", "cost"])
+
+    blocks = by_blocks(cur, prev, keys, run, kinds + ", a array<long>, b array<long>, c binary", limit)
+    return blocks.groupBy(*keys).applyInArrow(best, kinds + ", cur long, prev long, cost double")
+
+
 @query("assign_tracks")
 def assign_tracks(spark, sf_dir):
     """One-to-one matches of a frame's strokes with the last frame's: the smallest total cost, below a limit."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cur, prev = np.unique(pdf.cur), np.unique(pdf.prev)
-        c = np.full((len(cur), len(prev)), np.inf)
-        c[np.searchsorted(cur, pdf.cur), np.searchsorted(prev, pdf.prev)] = pdf.cost
-        rows = [(int(pdf.frame.iloc[0]), int(cur[i]), int(prev[j]), float(c[i, j])) for i, j in kernels.assign(c, 18.0)]
-        return pd.DataFrame(rows, columns=["frame", "cur", "prev", "cost"])
-
-    return costs(spark, sf_dir, 18.0).groupBy("frame").applyInPandas(run, "frame int, cur long, prev long, cost double")
+    s = strokes(spark, sf_dir)
+    return matched(s, s.withColumn("frame", F.col("frame") + 1), ["frame", "type"], 18.0, True).select("frame", "cur", "prev", "cost")
 
 
 @query("nearest_point", with_views("SELECT stroke, arg_min(j, ((x - 3) * (x - 3) + (y + 2) * (y + 2), y, x, j)) AS j FROM poly GROUP BY 1", "poly"))
