@@ -122,7 +122,14 @@ def chamfer(pairs: DataFrame, limit: float | None = None) -> DataFrame:
 
 @query("chamfer_cost", with_views(_COST.strip() + "\nSELECT cur, prev, cost FROM cost", "poly"))
 def chamfer_cost(spark, sf_dir):
-    return costs(spark, sf_dir).select("cur", "prev", "cost")
+    """Mean distance to the nearest point, both ways, between strokes of a kind in successive frames."""
+
+    def run(key: list, cur: np.ndarray, prev: np.ndarray, cost: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(cur), 64):
+            c = cur[a : a + 64]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(c, len(prev))), pa.array(np.tile(prev, len(c))), pa.array(rounded(cost[a : a + 64]).ravel(), from_pandas=True)], ["cur", "prev", "cost"])
+
+    return successive(spark, sf_dir, run, "cur long, prev long, cost double")
 
 
 @query("match_quality", with_views(_COST.strip() + ",\nr AS (SELECT cur, cost, row_number() OVER (PARTITION BY cur ORDER BY cost, prev) AS r FROM cost)\nSELECT a.cur, a.cost AS best, round(b.cost / a.cost, 4) AS ratio FROM r a LEFT JOIN r b ON b.cur = a.cur AND b.r = 2 WHERE a.r = 1", "poly"))

@@ -82,3 +82,8 @@ def test_matches_of_blocks_like_one_matrix(spark, monkeypatch, side):
 def test_assign_tracks_sends_blocks(spark):
     text = plan(spark, "assign_tracks")
     assert "collect_list" in text and "FlatMapGroupsInArrow [frame" in text, text
+
+
+@here
+def test_chamfer_cost_sends_blocks(spark):
+    assert "collect_list(struct(stroke" in plan(spark, "chamfer_cost")
