@@ -134,9 +134,16 @@ def chamfer_cost(spark, sf_dir):
 
 @query("match_quality", with_views(_COST.strip() + ",\nr AS (SELECT cur, cost, row_number() OVER (PARTITION BY cur ORDER BY cost, prev) AS r FROM cost)\nSELECT a.cur, a.cost AS best, round(b.cost / a.cost, 4) AS ratio FROM r a LEFT JOIN r b ON b.cur = a.cur AND b.r = 2 WHERE a.r = 1", "poly"))
 def match_quality(spark, sf_dir):
-    """How much worse the second best match of a stroke is."""
-    two = costs(spark, sf_dir).groupBy("cur").agg(F.array_sort(F.collect_list("cost")).alias("c"))
-    return two.select("cur", F.get("c", F.lit(0)).alias("best"), F.round(F.get("c", F.lit(1)) / F.get("c", F.lit(0)), 4).alias("ratio"))
+    """How much worse the second best match of a stroke is. A block sends the two best of its own."""
+
+    def run(key: list, cur: np.ndarray, prev: np.ndarray, cost: np.ndarray) -> Iterator[pa.RecordBatch]:
+        two = np.sort(np.partition(rounded(cost), min(1, len(prev) - 1), axis=1)[:, :2], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cur, two.shape[1])), pa.array(two.ravel(), from_pandas=True)], ["cur", "cost"])
+
+    two = successive(spark, sf_dir, run, "cur long, cost double").groupBy("cur").agg(F.array_sort(F.collect_list("cost")).alias("c"))
+    best, second = F.get("c", F.lit(0)), F.get("c", F.lit(1))
+    by_zero = F.when(second > 0, float("inf")).when(second == 0, float("nan"))  # as the SQL divides
+    return two.select("cur", best.alias("best"), F.when(best == 0, by_zero).otherwise(F.round(second / F.nullif(best, F.lit(0.0)), 4)).alias("ratio"))
 
 
 @query("nearest_match", with_views(_COST.strip() + "\nSELECT cur, arg_min(prev, (cost, prev)) AS prev FROM cost WHERE cost < 18 GROUP BY 1", "poly"))
