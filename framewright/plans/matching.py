@@ -75,14 +75,6 @@ def successive(spark, sf_dir, found: Callable[..., Iterator[pa.RecordBatch]], sc
     return by_blocks(s, s.withColumn("frame", F.col("frame") + 1), ["frame", "type"], found, schema, limit)
 
 
-def costs(spark, sf_dir, limit: float | None = None):
-    """(frame, cur, prev, cost): mean distance to the nearest point, both ways, between strokes of a kind in successive frames."""
-    s = strokes(spark, sf_dir)
-    prev = s.select((F.col("frame") + 1).alias("frame"), "type", F.col("stroke").alias("prev"), F.col("p").alias("q"))
-
-    return chamfer(s.withColumnRenamed("stroke", "cur").join(prev, ["frame", "type"]), limit).select("frame", "cur", "prev", F.round("cost", 6).alias("cost"))
-
-
 def _xy(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Coordinates of all points of a column of strokes, and where each stroke begins."""
     flat = col.flatten()
@@ -148,7 +140,16 @@ def match_quality(spark, sf_dir):
 
 @query("nearest_match", with_views(_COST.strip() + "\nSELECT cur, arg_min(prev, (cost, prev)) AS prev FROM cost WHERE cost < 18 GROUP BY 1", "poly"))
 def nearest_match(spark, sf_dir):
-    return costs(spark, sf_dir, 18.0).where("cost < 18").groupBy("cur").agg(F.min(F.struct("cost", "prev")).alias("b")).select("cur", "b.prev")
+    """The previous frame's nearest stroke, below a limit. A block sends the best of its own."""
+
+    def run(key: list, cur: np.ndarray, prev: np.ndarray, cost: np.ndarray) -> Iterator[pa.RecordBatch]:
+        c = rounded(np.where(np.isnan(cost), np.inf, cost))
+        best = c.argmin(axis=1)
+        c = c[np.arange(len(cur)), best]
+        near = c < 18
+        yield pa.RecordBatch.from_arrays([pa.array(cur[near]), pa.array(prev[best[near]]), pa.array(c[near])], ["cur", "prev", "cost"])
+
+    return successive(spark, sf_dir, run, "cur long, prev long, cost double", 18.0).groupBy("cur").agg(F.min(F.struct("cost", "prev")).alias("b")).select("cur", "b.prev")
 
 
 def matched(cur: DataFrame, prev: DataFrame, keys: list[str], limit: float, round_first: bool) -> DataFrame:

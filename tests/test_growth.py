@@ -99,3 +99,8 @@ def test_match_quality_of_copies(spark, tmp_path):
     spark.createDataFrame([row(0, 0.01), row(1, 0.01), row(20, 0.02), row(40, 0.01), row(2, 0.05)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r.cur: (r.best, str(r.ratio)) for r in catalogue.QUERIES["match_quality"](spark, str(tmp_path)).collect()}
     assert got[1] == (0.0, "nan") and got[2][1] == "None"
+
+
+@here
+def test_nearest_match_sends_blocks(spark):
+    assert "collect_list(struct(stroke" in plan(spark, "nearest_match")
