@@ -19,6 +19,14 @@ def mutual_distance(a: np.ndarray, b: np.ndarray) -> float:
     return float((d.min(axis=1).mean() + d.min(axis=0).mean()) / 2)
 
 
+def _even(strokes: list[np.ndarray]) -> np.ndarray:
+    """(stroke, point, 2), shorter strokes filled up with NaN."""
+    out = np.full((len(strokes), max(map(len, strokes)), 2), np.nan)
+    for s, p in zip(out, strokes, strict=True):
+        s[: len(p)] = p
+    return out
+
+
 class Tracker:
     """Strokes of the last frame with their ids, and the next free id."""
 
@@ -28,10 +36,9 @@ class Tracker:
     def step(self, strokes: list[tuple[str, np.ndarray]]) -> list[int]:
         """Ids of a frame's strokes (kind, points): matched ones keep theirs, the others get new ones in order."""
         cost = np.full((len(strokes), len(self.last)), np.inf)
-        for i, (kind, p) in enumerate(strokes):
-            for j, (other, q, _) in enumerate(self.last):
-                if kind == other:
-                    cost[i, j] = mutual_distance(p, q)
+        for kind in {k for k, _ in strokes} & {k for k, *_ in self.last}:
+            i, j = ([r for r, x in enumerate(s) if x[0] == kind] for s in (strokes, self.last))
+            cost[np.ix_(i, j)] = kernels.mutual_distances(_even([strokes[r][1] for r in i]), _even([self.last[r][1] for r in j]))
         matched = dict(kernels.assign(cost, self.limit))
         ids = []
         for i in range(len(strokes)):

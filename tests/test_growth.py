@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from framewright import catalogue
 from framewright.operators import kernels
-from framewright.plans import matching
+from framewright.plans import matching, tracks
+from framewright.streaming.tracker import Tracker
 
 SF = "/root/testdata/sf0.001"
 POINT = "array<struct<x:double,y:double>>"
@@ -104,3 +105,23 @@ def test_match_quality_of_copies(spark, tmp_path):
 @here
 def test_nearest_match_sends_blocks(spark):
     assert "collect_list(struct(stroke" in plan(spark, "nearest_match")
+
+
+@pytest.mark.parametrize("side", [5, 512])
+def test_carried_ids_like_the_tracker(spark, monkeypatch, side):
+    monkeypatch.setattr(matching, "SIDE", side)
+    df, rows = lines(spark, 2, 120, 6)
+    df, rows = df.where("not (clip = 1 and frame = 3)"), [r for r in rows if r[:2] != (1, 3)]
+    want = {}
+    for clip in (0, 1):
+        tracker = Tracker(9.0)
+        for frame in sorted({r[1] for r in rows if r[0] == clip}):
+            part = sorted((r for r in rows if r[:2] == (clip, frame)), key=lambda r: r[2])
+            want |= zip([r[2] for r in part], tracker.step([(r[3], np.array(r[4])) for r in part]), strict=True)
+    got = {r.stroke: r.track_id for r in tracks.carried(df, 9.0).collect()}
+    assert got == want and len(set(want.values())) < len(want)
+
+
+@here
+def test_track_ids_matches_frames_apart(spark):
+    assert "FlatMapGroupsInArrow [clip" in plan(spark, "track_ids")
